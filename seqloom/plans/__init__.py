@@ -1,0 +1,3 @@
+"""The registered queries, by area."""
+
+from . import analysis, collections, graphs, points, texts  # noqa: F401

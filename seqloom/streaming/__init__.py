@@ -1,0 +1,2 @@
+"""Nothing here: every source of this engine is finite, and its fixpoints run as batch
+jobs (see ``seqloom.iterate``)."""
