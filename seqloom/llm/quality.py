@@ -109,7 +109,7 @@ def rules() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.9) -> DataFrame:
     """By host (null is a host of its own): documents, failures of each rule, the
     rate of documents that fail any rule, shrunk by a beta prior, and host_kept.
 
@@ -135,7 +135,7 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5) -> Data
     return hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= max_rate).drop("m", "w")
 
 
-def judge(docs: DataFrame, carry: list[str], host: str = "source", text: str = "text", max_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, carry: list[str], host: str = "source", text: str = "text", max_rate: float = 0.9) -> DataFrame:
     """``carry`` with the measures, base_failed, host_rate and kept, one row for each row.
 
     kept is false if the document fails the base rule, else its host's verdict.
