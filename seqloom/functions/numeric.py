@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.structure import components
+from ..storage import cut
 
 
 def _big(op):
@@ -85,9 +85,18 @@ def range_min(seq: DataFrame, queries: DataFrame, block: int = 4096) -> DataFram
 
 
 def cycle_count(permutation: DataFrame) -> int:
-    """Cycles of a permutation (pos, val)."""
-    nodes = permutation.select(F.col("pos").alias("id"))
-    return components(nodes, permutation.select(F.col("pos").alias("src"), F.col("val").alias("dst"))).select("comp").distinct().count()
+    """Cycles of a permutation (pos, val).
+
+    Each round doubles the steps over which a position knows the least position of its
+    cycle, so rounds are log2 of the length.
+    """
+    n, steps = permutation.count(), 1
+    state = permutation.select("pos", F.col("val").alias("to"), F.least("pos", "val").alias("least"))
+    while steps < n:
+        ahead = state.select(F.col("pos").alias("to"), F.col("to").alias("further"), F.col("least").alias("m"))
+        state = cut(state.join(ahead, "to").select("pos", F.col("further").alias("to"), F.least("least", "m").alias("least")), "cycles")
+        steps *= 2
+    return state.select("least").distinct().count()
 
 
 def log2_up(x: Column) -> Column:

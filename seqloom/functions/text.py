@@ -70,19 +70,16 @@ def format_value(c: Column, kind: str) -> Column:
 def find_all(text: Column, pattern: str) -> Column:
     """Array of the offsets (from 0) of every occurrence, overlaps included; of an empty pattern, none.
 
-    Pieces between occurrences that do not overlap give all offsets if the pattern
-    cannot overlap itself; else every offset is tried.
+    The text is cut before every occurrence; the lengths of the pieces add up to the offsets.
     """
+    none = F.array().cast("array<int>")
     if not pattern:
-        return F.array().cast("array<int>")
-    if any(pattern.startswith(pattern[i:]) for i in range(1, len(pattern))):
-        last = F.length(text) - len(pattern)
-        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.filter(at, lambda i: F.substring(text, i + 1, F.lit(len(pattern))) == pattern)
-    gaps = F.transform(F.split(text, f"\\Q{pattern}\\E", -1), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, g: F.struct((acc["at"] + g + len(pattern)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + g)).alias("out"))
-    return F.slice(F.aggregate(gaps, start, step)["out"], F.lit(1), F.size(gaps) - 1)
+        return none
+    sizes = F.transform(F.split(text, f"(?=\\Q{pattern}\\E)", -1), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    ends = F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")))["out"]
+    inner = F.slice(ends, F.lit(1), F.size(ends) - 1)
+    return F.when(F.startswith(text, F.lit(pattern)), F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -179,8 +176,8 @@ def suffix_tree(seq: DataFrame) -> DataFrame:
 def cartesian_tree(seq: DataFrame) -> DataFrame:
     """(pos, val, parent): the tree with its minimum on top; the root is its own parent.
 
-    The parent is the larger (the nearer on ties: the left) of the nearest smaller
-    values on both sides. One task walks the sequence with a stack; what it holds is
+    The parent is the larger of the nearest values on both sides that are smaller (on
+    the left: or equal); on ties the right one. One task walks the sequence with a stack; what it holds is
     the stack and the sequence's parents.
     """
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..iterate import fixpoint
 from ..storage import cut
 from .graphs import symmetrize, undirected
+from .traversal import bfs
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -155,8 +156,10 @@ def set_cover(sets: DataFrame) -> DataFrame:
 def max_flow(arcs: DataFrame, source: int, sink: int) -> int:
     """The value of a maximum flow over arcs (src, dst, cap), by synchronous push-relabel.
 
-    In a round every vertex with excess pushes along its admissible arcs in order; one
-    that has none is lifted above its lowest residual neighbour.
+    Heights begin at the distances to the sink. In a round every vertex with excess
+    pushes along its admissible arcs in order; one that has none is lifted above its
+    lowest residual neighbour. A vertex at height n or more is cut off from the sink,
+    and what it holds does not count; when no other holds any, the sink has the flow.
     """
     both = arcs.select("src", "dst", "cap").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("cap"))).where("src <> dst")
     both = cut(both.groupBy("src", "dst").agg(F.sum("cap").cast("long").alias("res")), "arcs")
@@ -166,12 +169,15 @@ def max_flow(arcs: DataFrame, source: int, sink: int) -> int:
     heights = cut(nodes.join(first, "id", "left").select("id", F.when(F.col("id") == source, n).otherwise(0).cast("long").alias("h"), F.when(F.col("id") == source, 0).otherwise(F.coalesce("e", F.lit(0))).cast("long").alias("excess")), "nodes")
     back = both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.when(F.col("src") == source, F.col("res")).otherwise(0).alias("more"))
     both = cut(both.join(back, ["src", "dst"]).select("src", "dst", (F.when(F.col("src") == source, 0).otherwise(F.col("res")) + F.col("more")).alias("res")), "arcs")
+    back = both.where("res > 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    near = bfs(back, nodes.where(F.col("id") == sink)).select("id", "dist")
+    heights = cut(heights.join(near, "id", "left").select("id", F.when(F.col("id") == source, n).otherwise(F.coalesce("dist", F.lit(n))).cast("long").alias("h"), "excess"), "nodes")
     order = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
-    inner = ~F.col("id").isin(source, sink)
+    inner = ~F.col("id").isin(source, sink) & (F.col("h") < n)
     while not heights.where(inner & (F.col("excess") > 0)).isEmpty():
         a = heights.select(F.col("id").alias("src"), F.col("h").alias("hs"), F.col("excess"))
         b = heights.select(F.col("id").alias("dst"), F.col("h").alias("hd"))
-        active = both.where("res > 0").join(a.where(~F.col("src").isin(source, sink) & (F.col("excess") > 0)), "src").join(b, "dst")
+        active = both.where("res > 0").join(a.where(~F.col("src").isin(source, sink) & (F.col("excess") > 0) & (F.col("hs") < n)), "src").join(b, "dst")
         ok = active.where("hs = hd + 1").withColumn("before", F.coalesce(F.sum("res").over(order), F.lit(0)))
         pushed = cut(ok.select("src", "dst", F.greatest(F.lit(0), F.least("res", F.col("excess") - F.col("before"))).alias("p")).where("p > 0"), "pushed")
         lifted = active.join(pushed.select("src").distinct(), "src", "left_anti").groupBy(F.col("src").alias("id")).agg((F.min("hd") + 1).alias("lift"))

@@ -172,7 +172,7 @@ def _(spark, d):
     return ordered.random_shuffle(seq(spark, d).select("pos", "val"), 7)
 
 
-@query("reduce_monoids", SEQ + "SELECT sum(val) AS sum, min(val) AS min, max(val) AS max, bit_or(val) AS bit_or, bit_xor(val) AS bit_xor, bit_and(val) AS bit_and FROM (SELECT CAST(val AS BIGINT) AS val FROM s)")
+@query("reduce_monoids", SEQ + "SELECT CAST(sum(val) AS BIGINT) AS sum, min(val) AS min, max(val) AS max, bit_or(val) AS bit_or, bit_xor(val) AS bit_xor, bit_and(val) AS bit_and FROM (SELECT CAST(val AS BIGINT) AS val FROM s)")
 def _(spark, d):
     return scans.reduce(seq(spark, d), "sum", "min", "max", "bit_or", "bit_xor", "bit_and")
 

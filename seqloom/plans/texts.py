@@ -101,7 +101,7 @@ def _(spark, d):
 
 
 @query("cartesian_tree", SEQ.rstrip() + """, n AS (SELECT a.pos, a.val, (SELECT max(b.pos) FROM s b WHERE b.pos < a.pos AND b.val <= a.val) AS l, (SELECT min(b.pos) FROM s b WHERE b.pos > a.pos AND b.val < a.val) AS r FROM s a)
- SELECT n.pos, n.val, CASE WHEN l IS NULL THEN coalesce(r, n.pos) WHEN r IS NULL THEN l WHEN y.val > x.val OR y.val = x.val AND false THEN r ELSE l END AS parent FROM n LEFT JOIN s x ON x.pos = l LEFT JOIN s y ON y.pos = r""")
+ SELECT n.pos, n.val, CASE WHEN l IS NULL THEN coalesce(r, n.pos) WHEN r IS NULL THEN l WHEN y.val >= x.val THEN r ELSE l END AS parent FROM n LEFT JOIN s x ON x.pos = l LEFT JOIN s y ON y.pos = r""")
 def _(spark, d):
     return text.cartesian_tree(seq(spark, d))
 
