@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes
+from .common import SPACE, Kept, as_bytes
 
 #: Bytes that the rolling hash sees, and the mean length of a chunk (a power of two).
 ROLLING, MEAN_CHUNK = 16, 1024
 #: Bounds of the caches: bytes of kept chunks, words, and the longest word that is kept.
-CHUNK_CACHE_BYTES, WORD_CACHE, KEPT_WORD = 24 << 20, 250_000, 64
-_SPACES = b" \t\n\r\x0b\x0c"
+CHUNK_CACHE_BYTES, WORD_CACHE, KEPT_WORD = 24 << 20, 500_000, 64
 _RNG = np.random.default_rng(20240607)
 #: A value for each byte, for the rolling hash.
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint64)
@@ -58,7 +57,10 @@ class Encoder:
         self.library.no_padding()
         conf = json.loads(self.library.to_str())
         self.safe = self._splits_at_space(conf) and not conf.get("post_processor") and not conf.get("decoder")
-        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.words = Kept(WORD_CACHE)
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.digits = [str(i).encode() for i in range(size)]
+        self.names = [(self.library.id_to_token(i) or "").encode() for i in range(size)]
         self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.held = 0
 
@@ -77,22 +79,31 @@ class Encoder:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return len(ids), " ".join(map(str, ids)).encode(), self.library.decode(ids, skip_special_tokens=False).encode()
 
-    def _word(self, word: bytes) -> tuple[int, bytes, bytes]:
-        got = self.words.get(word)
-        if got is None:
-            got = self._whole(word.decode("utf-8"))
+    def _new(self, words: list[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
+        """Encodings of different words, by one call: they stand between spaces, where encodings agree."""
+        texts = [w.decode("utf-8") for w in words]
+        got = self.library.encode(" ".join(texts), add_special_tokens=False)
+        ids, first = got.ids, [a for a, _ in got.offsets]
+        ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts])).tolist()
+        out, at = {}, 0
+        for word, to in zip(words, ends, strict=True):
+            own = ids[at:to]
+            out[word] = found = len(own), b" ".join([self.digits[i] for i in own]), b" ".join([self.names[i] for i in own])
+            at = to
             if len(word) <= KEPT_WORD:
-                if len(self.words) >= WORD_CACHE:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+                self.words.put(word, found)
+        return out
 
     def _words(self, data: bytes) -> list[tuple[int, bytes, bytes]]:
         """Encodings of text that begins and ends at white space."""
         words = data.split()
-        got = list(map(self.words.get, words))
+        got = list(map(self.words.young.get, words))
         if None in got:
-            got = [self._word(w) if x is None else x for w, x in zip(words, got, strict=True)]
+            got = [self.words.get(w) if x is None else x for w, x in zip(words, got, strict=True)]
+            missing = list(dict.fromkeys(w for w, x in zip(words, got, strict=True) if x is None))
+            if missing:
+                new = self._new(missing)
+                got = [new[w] if x is None else x for w, x in zip(words, got, strict=True)]
         return [x for x in got if x[0]]
 
     def _chunk(self, data: bytes) -> tuple[int, bytes, bytes]:
@@ -130,6 +141,17 @@ class Encoder:
         return sum(x[0] for x in parts), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: tasks that follow each other share its caches."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encode_texts(docs: DataFrame, carry: list[str], path: str, ids: bool = True) -> DataFrame:
     """``carry``, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids and the
     decoded text, one row for each row.
@@ -144,7 +166,7 @@ def encode_texts(docs: DataFrame, carry: list[str], path: str, ids: bool = True)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             got = [encoder.encode(x) for x in as_bytes(batch.column(len(carry)))] if not ids else None
             if not ids:

@@ -127,3 +127,24 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         size += len(x) + 1
     if at < len(texts):
         yield at, len(texts)
+
+
+class Kept:
+    """A bounded cache of two generations: when the young one has ``most`` / 2 entries it
+    becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and self.old:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most // 2:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
