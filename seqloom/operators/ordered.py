@@ -227,3 +227,16 @@ def random_shuffle(seq: DataFrame, seed: int = 0) -> DataFrame:
     """In the order of a hash of seed and position: the same for the same seed."""
     own = seq.withColumnRenamed("pos", "_p").withColumn("_h", F.xxhash64(F.lit(seed), F.col("_p")))
     return positions(own, "_h", "_p").drop("_h", "_p")
+
+
+def lower_bound(seq: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, pos): for each different key the number of elements of a sorted sequence that are less.
+
+    Keys and elements are put in one order; a scan counts the elements.
+    """
+    from .scans import scan
+
+    both = seq.select(F.col("val").alias("key"), F.lit(1).cast("long").alias("e")).unionByName(keys.select("key", F.lit(0).cast("long").alias("e")).distinct())
+    at = cut(positions(both.withColumn("_t", F.monotonically_increasing_id()), "key", "e", "_t").select("pos", "key", "e"), "bounds")
+    before = scan(at.select("pos", F.col("e").alias("val")))
+    return at.where("e = 0").join(before, "pos").select("key", F.col("val").alias("pos"))

@@ -354,3 +354,8 @@ def _(spark, d):
 @query("intersection_size", "SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey AS k FROM lineitem INTERSECT SELECT s_suppkey FROM supplier)")
 def _(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).distinct().join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), "k", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("lower_bound", SEQ + "SELECT k AS key, (SELECT count(*) FROM s WHERE val < k) AS pos FROM (SELECT DISTINCT c_custkey * 7 AS k FROM customer)")
+def _(spark, d):
+    return ordered.lower_bound(sorting.sort(seq(spark, d).select("pos", "val")), table(spark, d, "customer").select((F.col("c_custkey") * 7).alias("key")))

@@ -103,7 +103,10 @@ def _(spark, d):
     return traversal.by_distance(traversal.shortest_paths(unit, _one(spark)))
 
 
-@query("sssp_weighted")
+_SSSP = EDGES.rstrip() + ", r(id, dist) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT dst, r.dist + (least(src, dst) * 7 + greatest(src, dst) * 13) % 50 + 1 FROM r JOIN h ON src = r.id WHERE r.dist + (least(src, dst) * 7 + greatest(src, dst) * 13) % 50 + 1 <= 150) "
+
+
+@query("sssp_weighted", _SSSP + "SELECT id, min(dist) AS dist FROM r GROUP BY 1")
 def _(spark, d):
     vertices, edges = part_graph(spark, d)
     weighted = both_ways(edges).withColumn("w", F.pmod(F.least("src", "dst") * 7 + F.greatest("src", "dst") * 13, F.lit(50)) + 1)
@@ -147,6 +150,19 @@ def _(spark, d):
     return ranking.pagerank(vertices, edges)[0]
 
 
+def _walk_sql(k: int) -> str:
+    parts = [EDGES.rstrip(), ", n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM part), o AS (SELECT src AS s, CAST(count(*) AS DOUBLE) AS k FROM e GROUP BY 1), r0 AS (SELECT p_partkey AS id, 1.0 / n AS rank FROM part, n)"]
+    for i in range(1, k + 1):
+        parts.append(f", d{i} AS (SELECT coalesce(sum(rank), 0) AS d FROM r{i - 1} WHERE id NOT IN (SELECT s FROM o)), r{i} AS (SELECT p_partkey AS id, CAST(0.15 AS DOUBLE) / n + CAST(0.85 AS DOUBLE) * d / n + CAST(0.85 AS DOUBLE) * coalesce(g, 0) AS rank FROM part CROSS JOIN n CROSS JOIN d{i} LEFT JOIN (SELECT dst, sum(rank / k) AS g FROM e JOIN r{i - 1} ON id = src JOIN o ON s = src GROUP BY 1) ON dst = p_partkey)")
+    return "".join(parts) + f" SELECT id, round(rank, 9) AS rank FROM r{k}"
+
+
+@query("pagerank_rounds", _walk_sql(8))
+def _(spark, d):
+    vertices, edges = part_graph(spark, d)
+    return ranking.pagerank(vertices, edges, eps=0.0, max_iterations=8)[0].select("id", F.round("rank", 9).alias("rank"))
+
+
 @query("matrix_vector", EDGES + "SELECT e.src AS pos, CAST(sum(e.dst % 10) AS DOUBLE) AS val FROM e GROUP BY 1")
 def _(spark, d):
     vertices, edges = part_graph(spark, d)

@@ -29,7 +29,13 @@ def _(spark, d):
     return spatial.radius_pairs(_points(spark, d), 50.0)
 
 
-@query("z_order")
+def _z_sql(bits: int = 10) -> str:
+    cell = ", ".join(f"least(CAST(floor(({a} - (SELECT min({a}) FROM p)) / (SELECT max({a}) - min({a}) FROM p) * {1 << bits}) AS BIGINT), {(1 << bits) - 1}) AS {a}" for a in "xyz")
+    z = " + ".join(f"((({a} >> {b}) & 1) << {3 * b + j})" for j, a in enumerate("xyz") for b in range(bits))
+    return _PTS.rstrip() + f", c AS (SELECT id, {cell} FROM p) SELECT id, {z} AS z FROM c"
+
+
+@query("z_order", _z_sql())
 def _(spark, d):
     return spatial.z_order(_points(spark, d)).select("id", "z")
 
@@ -70,9 +76,14 @@ def _(spark, d):
     return spark.createDataFrame([spatial.linear_program(rows, 1.0, 0.5)], "x double, y double")
 
 
-@query("total_forces")
+def _force_sql(c: str) -> str:
+    return f"round(1000000 * sum(CASE WHEN {_D2} > 0 THEN (1.0 + b.id % 3)::DOUBLE * (b.{c} - a.{c}) / pow({_D2}, 1.5) ELSE 0 END), 5) AS f{c}"
+
+
+@query("total_forces", _PTS + "SELECT a.id, " + ", ".join(map(_force_sql, "xyz")) + " FROM p a, p b WHERE a.id <> b.id GROUP BY a.id")
 def _(spark, d):
-    return spatial.total_forces(_points(spark, d).withColumn("mass", F.lit(1.0) + F.col("id") % 3))
+    got = spatial.total_forces(_points(spark, d).withColumn("mass", F.lit(1.0) + F.col("id") % 3))
+    return got.select("id", *(F.round(1_000_000 * F.col(c), 5).alias(c) for c in ("fx", "fy", "fz")))
 
 
 def _vectors(spark, d):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import positions, renumber
+from ..operators.ordered import renumber
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -236,5 +236,15 @@ def scrape(lines: DataFrame, pattern: str, name: str) -> DataFrame:
     return lines.select(F.regexp_extract("value", pattern, 1).alias("m")).where("m <> ''").select(F.col("m").cast("double").alias(name))
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    return positions(df, *order)
+def convert_triples(spark: SparkSession, paths: list[str], out: str, weighted: bool = True) -> None:
+    """Every file of triples as a Parquet of half-edges, parallel edges merged, at ``out``/<name>."""
+    from ..operators.graphs import clean
+
+    for path in paths:
+        name = path.rstrip("/").rpartition("/")[2].removesuffix(".txt")
+        clean(read_triples(spark, path, weighted)[1]).write.parquet(f"{out}/{name}")
+
+
+def write_results(df: DataFrame, path: str, *order: str) -> None:
+    """Comma-separated rows with a header, in one file and in order: for summaries."""
+    df.orderBy(*order).coalesce(1).write.csv(path, header=True)

@@ -455,6 +455,19 @@ def test_binary_and_delta(spark, tmp_path, random_graph):
     assert sorted(map(tuple, files.read_adjacency(spark, str(tmp_path / "adj.txt")).collect())) == [(0, 1), (0, 2), (2, 0), (2, 1)]
 
 
+def test_conversions_and_results(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("0 1 0.5\n0 1 0.25\n")
+    files.convert_triples(spark, [str(tmp_path / "a.txt")], str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "a")).collect())) == [(0, 1, 0.75), (1, 0, 0.75)]
+    files.write_results(spark.createDataFrame([("b", 2), ("a", 1)], "graph string, n long"), str(tmp_path / "r"), "graph")
+    assert files.read_chars(spark, str(next((tmp_path / "r").glob("*.csv")))).first()["value"] == "graph,n\na,1\nb,2\n"
+
+
+def test_lower_bound(spark):
+    got = ordered.lower_bound(seq(spark, [1, 3, 3, 7]), spark.createDataFrame([(k,) for k in (0, 1, 3, 3, 4, 9)], "key long")).collect()
+    assert {r["key"]: r["pos"] for r in got} == {0: 0, 1: 0, 3: 1, 4: 3, 9: 4}
+
+
 def test_other_files(spark, tmp_path):
     comm = spark.createDataFrame([(2, 0), (0, 0), (1, 5)], "id long, comm long")
     assert [r["value"] for r in files.community_lines(comm).collect()] == ["0 2 ", "1 "] and [r["value"] for r in files.partition_lines(comm).collect()] == ["0 0", "1 5", "2 0"]
