@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Kept, as_bytes
+from .common import SPACE, Kept, as_bytes, pieces
 
 #: Bytes that the rolling hash sees, and the mean length of a chunk (a power of two).
 ROLLING, MEAN_CHUNK = 16, 1024
@@ -167,18 +167,12 @@ def encode_texts(docs: DataFrame, carry: list[str], path: str, ids: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
-            got = [encoder.encode(x) for x in as_bytes(batch.column(len(carry)))] if not ids else None
-            if not ids:
-                out = [pa.array([x[0] for x in got], pa.int64()), *(pa.array([hashlib.sha256(x[k]).hexdigest() for x in got], pa.string()) for k in (1, 2))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *out], names=[*carry, *names])
-                continue
-            for k in range(0, batch.num_rows, 500):  # ids take more room than their text
-                part = batch.slice(k, 500)
-                got = [encoder.encode(x) for x in as_bytes(part.column(len(carry)))]
-                out = [pa.array([x[0] for x in got], pa.int64()), *(pa.array([hashlib.sha256(x[k]).hexdigest() for x in got], pa.string()) for k in (1, 2))]
+        for batch in pieces(batches):
+            got = [encoder.encode(x) for x in as_bytes(batch.column(len(carry)))]
+            out = [pa.array([x[0] for x in got], pa.int64()), *(pa.array([hashlib.sha256(x[k]).hexdigest() for x in got], pa.string()) for k in (1, 2))]
+            if ids:
                 out += [pa.array([list(map(int, x[1].split())) for x in got], pa.list_(pa.int32())), pa.array([x[2].decode("utf-8") for x in got], pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *out], names=[*carry, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *out], names=[*carry, *names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     more = ", ids array<int>, decoded string" if ids else ""

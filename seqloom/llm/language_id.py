@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, pieces
 
 #: The classifier is fitted on about so many labelled texts of each language.
 FIT_ROWS = 5_000
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, carry: list[str], model: dict, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
+        for batch in pieces(batches):
             got = [scorer.text(x.decode("utf-8")) for x in as_bytes(batch.column(len(carry)))]
             out = [pa.array([x[k] for x in got], t) for k, t in ((0, pa.string()), (1, pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *out], names=[*carry, "lang_pred", "score"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, groups, mix_int, word_hashes
+from .common import as_bytes, cut, groups, mix_int, pieces, word_hashes
 
 #: Documents that one task balances at a time.
 BLOCK = 4096
@@ -31,7 +31,7 @@ def sizes(docs: DataFrame, carry: list[str]) -> DataFrame:
     fields = docs.select(*carry).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = as_bytes(batch.column(len(carry)))
             n = [np.empty(0, dtype=np.int64), *(word_hashes(texts[a:b])[1] for a, b in groups(texts))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(np.concatenate(n))], names=[*carry, "size"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, cut, groups, mix, word_hashes
+from .common import SPACE, as_bytes, cut, groups, mix, pieces, word_hashes
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -85,7 +85,7 @@ def measure(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     fields = docs.select(*carry).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             got = measure_texts(as_bytes(batch.column(len(carry))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array(v) for v in got.values())], names=[*carry, *got])
 

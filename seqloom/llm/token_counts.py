@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, pieces
 
 #: Fixed value: how byte-level BPE cuts text before its merges.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -121,7 +121,7 @@ def frequent(docs: DataFrame, key: list[str], path: str, rows: int = TABLE_ROWS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(path)
         found: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             if counter.split is not None:
                 for raw in as_bytes(batch.column(0)):
                     found.update(counter.split.findall(raw.decode("utf-8")))
@@ -147,7 +147,7 @@ def count_tokens(docs: DataFrame, carry: list[str], path: str, over: int = 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(path, table.value)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = as_bytes(batch.column(len(carry)))
             size, n = np.array([len(x) for x in texts], dtype=np.int64), np.array([counter.count(x) for x in texts], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(size), pa.array(n), pa.array(n > over)], names=[*carry, "n_bytes", "n_tokens", "over_limit"])
