@@ -471,3 +471,18 @@ def test_gibbs_finds_the_mean_number_of_tables():
         seats.step(np.full(4000, fresh), rng)
         seen += [seats.tables().mean()] if i > 40 else []
     assert abs(np.mean(seen) - true) < 0.05
+
+
+def test_sketches_let_links_pass(spark):
+    rng = np.random.default_rng(11)
+    rows, close, far = [], [], []
+    for i in range(400):
+        n = int(rng.integers(2, 1500))
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        cut_ = int(len(base) * 0.2) if i % 2 else int(len(base) * 0.6)
+        other = np.sort(base[rng.permutation(len(base))[cut_:]])
+        if len(other):
+            rows.append((i, minhash.sketch(base).tolist(), minhash.sketch(other).tolist(), len(base) + len(other)))
+            (close if 100 * len(other) >= 80 * len(base) else far).append((i, len(base)))
+    got = {r["i"]: r["ok"] for r in spark.createDataFrame(rows, "i long, a array<long>, b array<long>, n long").select("i", minhash._alike(F.col("a"), F.col("b"), F.col("n"), 80).alias("ok")).collect()}
+    assert all(got[i] for i, _ in close) and not any(got[i] for i, n in far if n > 20)

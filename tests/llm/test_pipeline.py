@@ -2,14 +2,12 @@
 
 from collections import Counter
 
-import pytest
 from tokenizers import Tokenizer
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from seqloom.llm import secrets  # noqa: E402
-from seqloom.llm.queries import tokenizer  # noqa: E402
-from tests.llm.test_operators import ODD, components_of, measures, shingles  # noqa: E402
+import corpus_pipeline
+from seqloom.llm import secrets
+from seqloom.llm.queries import tokenizer
+from tests.llm.test_operators import ODD, components_of, measures, shingles
 
 
 def test_stages(spark, sf):
@@ -45,3 +43,19 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_rows(spark):
+    text = "eleven different words make up this text about nothing at all today {}"
+    rows = [(None, text.format("a"), "en", "s", 1), (None, None, None, None, None), (1, text.format("b"), "en", "s", 1), (1, text.format("b"), "en", "s", 1), (2, text.format("b"), None, None, None), (3, text.format("c d e f g"), "en", "s", 1), (3, "a longer other text than the one before with eleven words and more", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for _, stage in corpus_pipeline.STAGES:
+            own = stage(spark, now, "").collect()
+            assert bool(own) != empty
+    kept = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert Counter(r["doc_id"] for r in kept) == {None: 1, 1: 2, 2: 1, 3: 2}
+    assert Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == {1: 1, 3: 1}
+    mixed = corpus_pipeline.mixing_sources(spark, docs, "").collect()
+    assert max(Counter(r["doc_id"] for r in mixed).values()) <= 6
