@@ -21,8 +21,9 @@ from .common import cut
 
 #: Rows that the trees are fitted on; trees; their depth at least, and the leaf that a greater depth aims at.
 FIT_ROWS, TREES, DEPTH, LEAF = 16_384, 4, 8, 4_096
-#: A query takes leaves (of all trees together) until they hold this share of all vectors, and so many at least.
-SHARE, LEAST = 0.85, 8_000
+#: A query takes leaves (of all trees together) until these hold this share of the
+#: number of all vectors (leaves of different trees overlap), and so many at least.
+SHARE, LEAST = 1.0, 8_000
 #: Vectors, and queries, that meet in one task at most.
 BLOCK, QUERIES = 1_024, 8_192
 
