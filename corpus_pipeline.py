@@ -6,7 +6,7 @@ returns the columns of documents; the last returns the ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, minhash, mixing, quality, secrets
@@ -16,17 +16,36 @@ from seqloom.llm.queries import tokenizer
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _key() -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _same(docs: DataFrame, other: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(other["_id"]) & (docs["_key"] == other["_of"])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule, or whose host is rejected, go."""
-    judged = quality.judge(docs, ["doc_id"]).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(judged, "doc_id", "left_semi").select(COLUMNS)
+    """Documents that fail the base rule, or whose host is rejected, go.
+
+    Null ids and hosts are judged as others are; a null text fails; repeated rows stay or go together.
+    """
+    own = docs.select(*COLUMNS, _key().alias("_key"))
+    kept = quality.judge(own, ["doc_id", "_key"]).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).distinct()
+    return own.join(kept, _same(own, kept), "left_semi").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
-    Of several rows with that id, the first by text stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+
+    Of several rows with that id, the first by text stays. Rows without an id cannot be
+    told from each other and go.
+    """
+    own = docs.select(COLUMNS)
+    kept = minhash.near_duplicates(own.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")  # rows of one id
+    out = own.join(kept, own["doc_id"] == kept["_id"], "left_semi")
+    return out.withColumn("_r", F.row_number().over(one)).where("_r = 1").select(COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +55,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stands as often as the mix takes it; what it does not take goes."""
-    mixed = mixing.take(mixing.sizes(docs, ["doc_id", "source"]), "source", "doc_id")
-    times = mixed.where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    out = docs.select(COLUMNS).join(times, "doc_id")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    """Every document stands as often as the mix takes it; what it does not take goes.
+
+    Equal rows are sampled each and stand as often as they are taken together.
+    """
+    own = docs.select(*COLUMNS, _key().alias("_key"))
+    mixed = mixing.take(mixing.sizes(own, ["doc_id", "_key", "source"]), "source", "doc_id").where("taken > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), F.col("source").alias("_source")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    one = Window.partitionBy("doc_id", "_key", "source").orderBy("lang", "n_chars")
+    out = own.join(times, _same(own, times) & own["source"].eqNullSafe(times["_source"])).withColumn("_r", F.row_number().over(one)).where("_r = 1")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
