@@ -115,6 +115,7 @@ class Scorer:
 
     def text(self, text: str) -> tuple[str, float]:
         words = Counter(_LETTERS.findall(text.lower()))
+        words = {w: n for w, n in words.items() if w.isalpha() or any(map(str.isalpha, w))}  # not those of numerals alone
         if not words or not self.langs:
             return "und", 0.0
         at = list(map(self.index[0].get, words))
