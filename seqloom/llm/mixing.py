@@ -3,7 +3,7 @@
 A source that is to give f times its words gives every document floor(f) times, and
 the fraction f - floor(f) is sampled: inclusion probabilities move through the null
 space of the constraints (words and documents of the sample) until each is 0 or 1,
-but for a small landing problem. Sources are cut into blocks; what a block leaves
+but for a small landing problem; what a large document misses there others make up. Sources are cut into blocks; what a block leaves
 open is gathered and moved on, until a source has one last block to land.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, groups, mix_int, pieces, word_hashes
 
 #: Documents that one task balances at a time.
-BLOCK = 4096
+BLOCK = 32_768
 #: The weights, dealt to the sources in order of their names.
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -119,12 +119,43 @@ def land(p: list[float], size: list[float]) -> list[float]:
     return p
 
 
+def settle(p: list[float], first: list[float], size: list[float], most: int = 64) -> list[float]:
+    """After the landing: what a large document misses is made up by others of its block.
+
+    Documents change sides, alone or one against another, each time those that leave
+    the least miss of words, while it gets less; ``most`` changes at most.
+    """
+    q, z = np.array(p), np.array(size)
+    free = (np.array(first) > 0) & (np.array(first) < 1)
+    miss = float(np.dot(q - np.array(first), z))
+    for _ in range(most):
+        ins, outs = np.flatnonzero(free & (q == 1)), np.flatnonzero(free & (q == 0))
+        outs = outs[np.argsort(z[outs], kind="stable")]
+        options = [(abs(miss - z[i]), i, -1) for i in ins] + [(abs(miss + z[j]), -1, j) for j in outs]
+        if len(ins) and len(outs):
+            near = np.searchsorted(z[outs], z[ins] - miss)
+            for k in (near - 1, near):
+                j = outs[np.clip(k, 0, len(outs) - 1)]
+                left = np.abs(miss - z[ins] + z[j])
+                b = int(left.argmin())
+                options.append((float(left[b]), int(ins[b]), int(j[b])))
+        best = min(options, default=(abs(miss), -1, -1))
+        if not best[0] < abs(miss) - 1e-6:
+            break
+        for k, v in ((best[1], 0.0), (best[2], 1.0)):
+            if k >= 0:
+                miss += (v - q[k]) * z[k]
+                q[k] = v
+    return q.tolist()
+
+
 def _move(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["spot", "key", "size", "copy"], kind="stable").reset_index(drop=True)
+        # large documents first: what is left to land is small
+        pdf = pdf.sort_values(["size", "spot", "key", "copy"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         size = pdf["size"].astype(float).tolist()
         p = fly(pdf["p"].tolist(), size, np.random.default_rng(mix_int(int(pdf["spot"].iloc[0]) ^ len(pdf))))
-        return pdf.assign(p=land(p, size) if last else p)
+        return pdf.assign(p=settle(land(p, size), pdf["p"].tolist(), size) if last else p)
 
     return run
 
