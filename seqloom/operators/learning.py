@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -26,9 +27,9 @@ def assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
     return points.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, "id long, center int, d2 double")
 
 
-def kmeans(points: DataFrame, k: int, eps: float = 0.005, max_rounds: int = 50, seed: int = 1) -> tuple[np.ndarray, int]:
+def kmeans(points: DataFrame, k: int, eps: float = 0.005, max_rounds: int | None = 50, seed: int = 1) -> tuple[np.ndarray, int]:
     """Centers, and the rounds taken: seeded in proportion to squared distance, then
-    moved until they move less than ``eps`` together.
+    moved until they move less than ``eps`` together (``max_rounds`` None: however long that takes).
 
     Seeds are drawn from all points by a hash, so reruns agree. A center without
     points stays. Only centers and their sums reach the driver.
@@ -48,14 +49,14 @@ def kmeans(points: DataFrame, k: int, eps: float = 0.005, max_rounds: int = 50,
             break
         centers = np.vstack([centers, new["vec"]])
     dims = centers.shape[1]
-    for r in range(1, max_rounds + 1):
+    for r in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         got = assign(own, centers).join(own, "id").groupBy("center").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("vec")[i]).alias(f"s{i}") for i in range(dims))).collect()  # a row for each center
         moved = centers.copy()
         for row in got:
             moved[row["center"]] = np.array([row[f"s{i}"] for i in range(dims)]) / row["n"]
         shift = math.sqrt(float(((moved - centers) ** 2).sum()))
         centers = moved
-        if shift < eps:
+        if not shift >= eps:  # a NaN ends it too
             return centers, r
     return centers, max_rounds
 

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
 
 AXES = ("x", "y", "z")
+#: Cells along each axis in which `ray_cast` gathers triangles, and how many of these, and of rays, it pairs at a time.
+CELLS, BLOCK = 8, 4_096
 
 
 def radius_pairs(points: DataFrame, r: float, axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -88,31 +90,70 @@ def box_overlaps(boxes: DataFrame, cell: float, axes: tuple[str, ...] = AXES) ->
     return both.select(F.col("lid").alias("i"), F.col("id").alias("j"))
 
 
-def _cross(a: list[Column], b: list[Column]) -> list[Column]:
-    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-
-
-def _dot(a: list[Column], b: list[Column]) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+def _first_hits(rays: pd.DataFrame, tris: pd.DataFrame) -> pd.DataFrame:
+    """(ray, tri, t) of the nearest of ``tris``, for the rays that hit any."""
+    v = {c: np.stack([np.asarray(x, dtype=float) for x in tris[c]]) for c in "abc"}
+    e1, e2, ids = v["b"] - v["a"], v["c"] - v["a"], tris["tri"].to_numpy()
+    out = []
+    for at in range(0, len(rays), max(1, 250_000 // len(tris))):
+        own = rays.iloc[at : at + max(1, 250_000 // len(tris))]
+        o, d = (np.stack([np.asarray(x, dtype=float) for x in own[c]])[:, None] for c in "od")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.cross(d, e2)
+            det = (e1 * p).sum(axis=2)
+            s = o - v["a"]
+            q = np.cross(s, e1)
+            u, w, t = (s * p).sum(axis=2) / det, (d * q).sum(axis=2) / det, (e2 * q).sum(axis=2) / det
+            ok = (np.abs(det) > 1e-12) & (u >= 0) & (w >= 0) & (u + w <= 1) & (t > 1e-12)
+        r, k = np.nonzero(ok)
+        found = pd.DataFrame({"ray": own["ray"].to_numpy()[r], "tri": ids[k], "t": t[r, k]})
+        out.append(found.sort_values(["t", "tri"]).drop_duplicates("ray"))
+    return pd.concat(out)
 
 
 def ray_cast(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """(ray, tri, t): the first triangle each ray hits, null for none.
 
     rays (ray, o: array of 3, d: array of 3) meet triangles (tri, a, b, c: arrays of 3).
-    The triangles are the side that is broadcast if Spark finds it small; candidates
-    are reduced to the nearest by ray at once.
+    Triangles stand in the cells of their centroids, CELLS along each axis, and full
+    cells are split into blocks of about BLOCK. A ray goes to the blocks whose bounding
+    box it crosses and meets all of their triangles; the nearest hits of all blocks are
+    reduced by ray.
     """
-    v = lambda c: [F.col(c)[i] for i in range(3)]
-    minus = lambda p, q: [x - y for x, y in zip(p, q, strict=True)]
-    pairs = rays.join(triangles, F.lit(True))
-    e1, e2 = minus(v("b"), v("a")), minus(v("c"), v("a"))
-    p = _cross(v("d"), e2)
-    det = _dot(e1, p)
-    s = minus(v("o"), v("a"))
-    q = _cross(s, e1)
-    hit = pairs.withColumns({"det": det, "u": _dot(s, p), "w": _dot(v("d"), q), "t": _dot(e2, q)}).where(F.abs("det") > 1e-12)
-    hit = hit.withColumns({c: F.col(c) / F.col("det") for c in ("u", "w", "t")}).where("u >= 0 and w >= 0 and u + w <= 1 and t > 1e-12")
+    own = triangles.select("tri", "a", "b", "c", *(((F.col("a")[i] + F.col("b")[i] + F.col("c")[i]) / 3).alias(f"m{i}") for i in range(3)))
+    row = own.agg(*(f(f"m{i}").alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    cell = F.lit(0)
+    for i in range(3):
+        lo, span = row[f"lo{i}"] or 0.0, (row[f"hi{i}"] or 0.0) - (row[f"lo{i}"] or 0.0) or 1.0
+        cell = cell * CELLS + F.least(F.floor((F.col(f"m{i}") - lo) / span * CELLS), F.lit(CELLS - 1)).cast("int")
+    own = own.select("tri", "a", "b", "c", cell.alias("cell")).where("cell is not null")
+    parts = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))  # CELLS ** 3 rows at most
+    own = own.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("tri"), F.col("parts")))
+    own = cut(own.drop("parts"), "triangles")
+    corner = lambda f, i: f(F.col("a")[i], F.col("b")[i], F.col("c")[i])
+    boxes = own.groupBy("cell", "part").agg(*(g(corner(f, i)).alias(f"{n}{i}") for i in range(3) for n, f, g in (("lo", F.least, F.min), ("hi", F.greatest, F.max))))
+    near, far, meets = F.lit(0.0), F.lit(float("inf")), F.lit(True)
+    for i in range(3):
+        o, d = F.col("o")[i], F.col("d")[i]
+        wide = 1e-6 * (1 + F.abs(f"lo{i}") + F.abs(f"hi{i}") + F.abs(o))  # more than rounding, so that no hit is lost
+        lo, hi = F.col(f"lo{i}") - wide - o, F.col(f"hi{i}") + wide - o
+        step = F.when(d != 0, d)
+        near = F.greatest(near, F.least(lo / step, hi / step))
+        far = F.least(far, F.greatest(lo / step, hi / step))
+        meets = meets & ((d != 0) | ((lo <= 0) & (hi >= 0)))
+    crossed = rays.select("ray", "o", "d").join(boxes, meets & (near <= far)).select("ray", "o", "d", "cell", "part")
+    # rays in as many groups as keep one small; each group meets a copy of the block
+    crossed = cut(crossed, "crossed")
+    groups = crossed.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
+    crossed = crossed.join(groups, ["cell", "part"]).withColumn("group", F.pmod(F.xxhash64("ray"), F.col("groups"))).drop("groups")
+    copies = own.join(groups, ["cell", "part"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
+    key = ["cell", "part", "group"]
+    kinds = rays.schema["ray"].dataType.simpleString(), triangles.schema["tri"].dataType.simpleString()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _first_hits(left, right) if len(left) and len(right) else pd.DataFrame({"ray": [], "tri": [], "t": []})
+
+    hit = crossed.groupBy(key).cogroup(copies.groupBy(key)).applyInPandas(run, f"ray {kinds[0]}, tri {kinds[1]}, t double")
     first = hit.groupBy("ray").agg(F.min(F.struct("t", "tri")).alias("h"))
     return rays.select("ray").join(first, "ray", "left").select("ray", "h.tri", "h.t")
 

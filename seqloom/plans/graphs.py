@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import community, graphs, ranking, structure, traversal
 from ..sources import generators
-from .tables import EDGES, LINKS, both_ways, link_graph, part_graph, table
+from .tables import EDGES, LINKS, both_ways, link_graph, part_graph, table, whole_graph
 
 
 @query("transpose", EDGES + "SELECT dst AS src, src AS dst FROM e")
@@ -127,7 +127,7 @@ def _(spark, d):
 
 @query("le_lists")
 def _(spark, d):
-    vertices, edges = link_graph(spark, d)
+    vertices, edges = whole_graph(spark, d)
     return traversal.le_lists(both_ways(edges.select("src", "dst")), vertices)
 
 
@@ -182,6 +182,12 @@ def _(spark, d):
     return structure.components(vertices, edges.select("src", "dst"))
 
 
+@query("part_components")
+def _(spark, d):
+    vertices, edges = part_graph(spark, d)  # all edges; the recursive SQL is only quick on the links
+    return structure.components(vertices, edges)
+
+
 @query("spanning_forest")
 def _(spark, d):
     vertices, edges = part_graph(spark, d)
@@ -203,18 +209,18 @@ def _(spark, d):
 
 @query("independent_set")
 def _(spark, d):
-    vertices, edges = link_graph(spark, d)
+    vertices, edges = whole_graph(spark, d)
     return structure.independent_set(vertices, edges)
 
 
 @query("matching")
 def _(spark, d):
-    return structure.matching(link_graph(spark, d)[1])
+    return structure.matching(whole_graph(spark, d)[1])
 
 
 @query("colouring")
 def _(spark, d):
-    vertices, edges = link_graph(spark, d)
+    vertices, edges = whole_graph(spark, d)
     return structure.colouring(vertices, edges)
 
 
@@ -269,14 +275,14 @@ def _(spark, d):
 
 @query("communities_one_level")
 def _(spark, d):
-    vertices, edges = link_graph(spark, d)
+    vertices, edges = whole_graph(spark, d)
     half = both_ways(edges.select("src", "dst", (F.col("w") + 1.0).alias("w")))
     return community.one_level(half, vertices.select("id", F.col("id").alias("comm")))[0]
 
 
 @query("communities_multi_level")
 def _(spark, d):
-    vertices, edges = link_graph(spark, d)
+    vertices, edges = whole_graph(spark, d)
     half = both_ways(edges.select("src", "dst", (F.col("w") + 1.0).alias("w")))
     return community.compose(community.multi_level(vertices, half)[0])
 

@@ -53,7 +53,7 @@ def _(spark, d):
     at = lambda i: F.array(*(v[i + j].cast("double") for j in range(3)))
     e = table(spark, d, "embeddings")
     rays = e.select(F.col("vec_id").alias("ray"), at(0).alias("o"), at(3).alias("d"))
-    triangles = e.where("label = 0").select(F.col("vec_id").alias("tri"), at(6).alias("a"), at(9).alias("b"), at(12).alias("c"))
+    triangles = e.select(F.col("vec_id").alias("tri"), at(6).alias("a"), at(9).alias("b"), at(12).alias("c"))
     return spatial.ray_cast(rays, triangles)
 
 
@@ -93,7 +93,7 @@ def _vectors(spark, d):
 @query("kmeans")
 def _(spark, d):
     points = _vectors(spark, d)
-    centers, _ = learning.kmeans(points, 10, max_rounds=10)
+    centers, _ = learning.kmeans(points, 10, max_rounds=None)
     return learning.assign(points, centers).select("id", "center")
 
 

@@ -65,6 +65,13 @@ LINKS = EDGES.rstrip() + """, b AS (SELECT h.src, h.dst, row_number() OVER (PART
  kk AS (SELECT eid, src, dst, w FROM k UNION ALL SELECT eid, dst, src, w FROM k) """
 
 
+def whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All parts (id), and all edges of the part graph as (eid, src, dst, w), numbered by (src, dst)."""
+    vertices, edges = part_graph(spark, sf_dir)
+    numbered = positions(edges, "src", "dst").withColumn("w", F.pmod(F.col("src") * 31 + F.col("dst") * 17, F.lit(97)))
+    return vertices, cut(numbered.select(F.col("pos").alias("eid"), "src", "dst", "w"), "whole")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     rest = [c for c in edges.columns if c not in ("src", "dst")]
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))

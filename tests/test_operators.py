@@ -499,3 +499,23 @@ def test_generators(spark):
     b = generators.block_model(spark, 300, 3, 0.2, 0.02)
     inner, outer = b.where("src % 3 = dst % 3").count(), b.where("src % 3 <> dst % 3").count()
     assert abs(inner - 0.2 * 3 * 4950) < 300 and abs(outer - 0.02 * 30000) < 150 and b.where("w < 0.1 or w >= 1").isEmpty()
+
+
+def test_rays_meet_the_first_of_all_triangles(spark):
+    rng = np.random.default_rng(5)
+    corner = rng.uniform(0, 10, (400, 3))
+    tris = [(i, *(p.tolist() for p in (c, c + rng.uniform(-2, 2, 3), c + rng.uniform(-2, 2, 3)))) for i, c in enumerate(corner)]
+    rays = [(i, rng.uniform(-3, 13, 3).tolist(), d) for i, d in enumerate([[1.0, 0.0, 0.0], [0.0, 0.0, -1.0]] + rng.normal(size=(150, 3)).tolist())]
+    true = {}
+    for ray, o, d in rays:
+        hits = [(math.inf, None)]
+        for tri, a, b, c in tris:
+            m = np.array([-np.array(d), np.subtract(b, a), np.subtract(c, a)]).T
+            t, u, w = np.linalg.solve(m, np.subtract(o, a))
+            if u >= 0 and w >= 0 and u + w <= 1 and t > 1e-12:
+                hits.append((t, tri))
+        true[ray] = min(hits)[1]
+    rays = spark.createDataFrame(rays, "ray long, o array<double>, d array<double>")
+    tris = spark.createDataFrame(tris, "tri long, a array<double>, b array<double>, c array<double>")
+    assert {r["ray"]: r["tri"] for r in spatial.ray_cast(rays, tris).collect()} == true and len(set(true.values())) > 30
+    assert all(r["tri"] is None for r in spatial.ray_cast(rays, tris.limit(0)).collect())
