@@ -36,16 +36,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id.
+    """One row of each group of near-duplicates stays: the one with the smallest id.
 
-    Of several rows with that id, the first by text stays. Rows without an id cannot be
-    told from each other and go.
+    Of several rows with that id, the first by text stays. Rows without an id come after
+    those with one. Texts that share an id but not a group stay each; texts without words
+    are in no group and all stay.
     """
-    own = docs.select(COLUMNS)
-    kept = minhash.near_duplicates(own.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")  # rows of one id
-    out = own.join(kept, own["doc_id"] == kept["_id"], "left_semi")
-    return out.withColumn("_r", F.row_number().over(one)).where("_r = 1").select(COLUMNS)
+    own = docs.select(*COLUMNS, _key().alias("_key"))
+    got = minhash.labelled(own, "doc_id", "text").select(F.col("doc").alias("_id"), F.col("key").alias("_of"), F.col("comp").alias("_comp")).distinct()
+    named = cut(own.join(got, _same(own, got)).select(*COLUMNS, "_comp"), "named")
+    one = Window.partitionBy("_comp").orderBy(F.col("doc_id").asc_nulls_last(), "text", "lang", "source", "n_chars")
+    out = named.where("_comp is not null").withColumn("_r", F.row_number().over(one)).where("_r = 1").select(COLUMNS)
+    return out.unionByName(named.where("_comp is null").select(COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

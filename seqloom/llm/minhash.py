@@ -116,8 +116,13 @@ def _list(flat: np.ndarray, sizes: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int64()))
 
 
+def text_key(text: str) -> Column:
+    """What tells texts of one id apart; null is as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def sign(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
-    """doc, n_shingles, a 128-bit digest of the set (d1, d2) and the bands (empty for an empty set)."""
+    """doc, the text's key, n_shingles, a 128-bit digest of the set (d1, d2) and the bands (empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -131,11 +136,11 @@ def sign(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
                     sigs.append(signature(s))
             bands = _bands(np.stack(sigs)).ravel() if sigs else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _list(bands, [BANDS * (n > 0) for n in sizes])], names=["doc", "n_shingles", "d1", "d2", "bands"]
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _list(bands, [BANDS * (n > 0) for n in sizes])], names=["doc", "key", "n_shingles", "d1", "d2", "bands"]
             )
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), text_key(text).alias("key")).mapInArrow(run, f"doc {kind}, key long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -144,7 +149,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, doc: str, text: str, k: int, wanted: DataFrame, count: int) -> DataFrame:
-    """rep, its set (sorted 64-bit hashes), sketch and bands for the classes (rep, d1, d2) in ``wanted``."""
+    """rep, its set (sorted 64-bit hashes), sketch and bands for the classes (rep, d1, d2, of: a row's id and text key) in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -157,11 +162,11 @@ def _sets(docs: DataFrame, doc: str, text: str, k: int, wanted: DataFrame, count
             columns = [batch.column(0).take(pa.array(own, pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()), _list(flat, [len(x) for x in sketches]), _list(bands, [BANDS] * len(sets))]
             yield pa.RecordBatch.from_arrays(columns, names=["rep", "set", "sketch", "bands"])
 
-    wanted = wanted.select("rep", "d1", "d2")
-    wanted = F.broadcast(wanted) if count <= 500_000 else wanted  # 12 MB at most; beyond that the join shuffles
-    kind = docs.schema[doc].dataType.simpleString()
-    own = docs.select(F.col(doc).alias("rep"), F.col(text).alias("_text")).join(wanted, "rep").select("rep", "_text", "d1", "d2")
-    return own.mapInArrow(run, f"rep {kind}, set binary, sketch array<long>, bands array<long>").dropDuplicates(["rep"])
+    wanted = wanted.select("rep", "d1", "d2", F.col("of.doc").alias("_id"), F.col("of.key").alias("_of"))
+    wanted = F.broadcast(wanted) if count <= 500_000 else wanted  # 20 MB at most with ids that are numbers; beyond that the join shuffles
+    own = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), text_key(text).alias("_key"))
+    own = own.join(wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))).select("rep", "_text", "d1", "d2")
+    return own.mapInArrow(run, "rep long, set binary, sketch array<long>, bands array<long>").dropDuplicates(["rep"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,45 +205,54 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc, n_shingles, component_id and kept, one row for each row.
+def labelled(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """doc, the text's key (`text_key`), n_shingles, comp and first, one row for each row.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z. component_id is the smallest id
-    that links reach, kept says whether it is the row's own. A text that is null or
-    without words is linked with nothing. Repeated rows get the same component each. Of
-    an id that has several texts, the one with the fewest shingles (then the smallest
-    digest) stands for it in links; the others are linked through equal sets only. A row
-    with a null id takes part through equal sets only, and is kept if no id is in its
-    component. An empty table gives an empty result. Other columns are not read.
+    comp is the component of the row's text, whatever its id, and null for a text without
+    words; first is the smallest id in the component, null if none of its rows has one.
+    Every distinct shingle set is a node of its own, so texts that share an id, and those
+    without one, are linked as all others are.
     """
     own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     signed = cut(sign(own, "doc", "text", k), "signed")
-    # one representative for each set: equal sets need no pairs
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc").alias("rep"), F.min_by("bands", "doc").alias("bands"))
-    classes = cut(classes.where("rep is not null"), "classes")
-    first = classes.groupBy("rep").agg(F.min(F.struct("n_shingles", "d1", "d2")).alias("f"), F.count(F.lit(1)).alias("texts"))
-    linked = classes
-    if not first.where("texts > 1").isEmpty():
-        linked = classes.join(first, "rep").where(F.struct("n_shingles", "d1", "d2") == F.col("f")).drop("f", "texts")
-    rows = linked.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    # one node for each set: equal sets need no pairs; its number is fixed once it is written
+    row = F.struct(F.col("doc").isNull().alias("none"), "doc", "key")
+    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc").alias("first"), F.min(row).alias("of"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = cut(rows.join(crowded, "bucket"), "buckets")
     # a member's standing: how many documents it shares buckets with
     standing = rows.groupBy("rep").agg(F.sum("size").alias("standing"))
-    wanted = cut(standing.join(linked.select("rep", "d1", "d2"), "rep"), "standing")
+    wanted = cut(standing.join(classes.select("rep", "d1", "d2", "of"), "rep"), "standing")
     count = wanted.count()
+    named = classes.select("rep", "first", F.col("n_shingles").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"))
     if count:
         sets = cut(_sets(own, "doc", "text", k, wanted, count), "sets")
         rows = cut(rows.select("bucket", "rep", "n").join(wanted.select("rep", "standing"), "rep"), "buckets")
         labels = _link(rows, sets, percent)
-        named = linked.select("rep", "n_shingles", "d1", "d2").join(labels.withColumnRenamed("node", "rep"), "rep")
-        classes = classes.join(named.select("n_shingles", "d1", "d2", "comp"), ["n_shingles", "d1", "d2"], "left")
+        named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     else:
-        classes = classes.withColumn("comp", F.col("rep"))
-    classes = classes.select(F.col("n_shingles").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("comp", "rep").alias("comp"))
-    out = signed.join(classes, (F.col("n_shingles") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
-    component = F.coalesce("comp", "doc")
-    return out.select(F.col("doc").alias(doc), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))
+        named = named.withColumn("comp", F.col("rep"))
+    named = cut(named.drop("rep"), "named")
+    least = named.groupBy("comp").agg(F.min("first").alias("first"))
+    named = named.drop("first").join(least, "comp")
+    out = signed.join(named, (F.col("n_shingles") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
+    return out.select("doc", "key", "n_shingles", "comp", "first")
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """doc, n_shingles, component_id and kept, one row for each row.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z. component_id is the smallest id
+    that links reach, kept says whether it is the row's own. A text that is null or
+    without words is linked with nothing. Repeated rows get the same component each.
+    Texts that share an id are linked each by itself, so rows of one id can be in
+    different components. A row with a null id takes part as others do, and is kept if no
+    id is in its component. An empty table gives an empty result. Other columns are not read.
+    """
+    component = F.coalesce("first", "doc")
+    return labelled(docs, doc, text, k, percent).select(F.col("doc").alias(doc), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))
 
 
 def _link(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

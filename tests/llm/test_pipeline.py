@@ -59,3 +59,11 @@ def test_odd_rows(spark):
     assert Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == {1: 1, 3: 1}
     mixed = corpus_pipeline.mixing_sources(spark, docs, "").collect()
     assert max(Counter(r["doc_id"] for r in mixed).values()) <= 6
+
+
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(7, words("a")), (7, words("b")), (7, words("b") + " more"), (8, words("b") + " else"), (None, words("c")), (None, words("c") + " more"), (None, words("d")), (4, words("d") + " more"), (9, words("e")), (3, words("e") + " more"), (3, words("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == {(7, "a"): 1, (7, "b"): 1, (None, "c"): 1, (4, "d"): 1, (3, "e"): 1, (3, "f"): 1}
