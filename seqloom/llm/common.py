@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space: the space and the characters 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
+_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 #: Bytes that are hashed at once; longer texts are cut at white space.
 BLOCK_BYTES = 1 << 20
@@ -24,11 +25,14 @@ _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
+    """A new path in the folder that the driver and all executors share; where none is
+    set, in a new temporary folder in local mode, and an error on a cluster."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         conf = jsc.getCheckpointDir().get()
     return f"{conf.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -83,7 +87,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _piece(data: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(data, dtype=np.uint8)
     inner = ~SPACE[buf]
     edge = np.flatnonzero(inner[1:] != inner[:-1]) + 1
@@ -92,12 +96,12 @@ def _piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(start):
         return start, np.empty(0, dtype=np.uint64)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[buf].astype(np.uint64) + np.uint64(1)) * _power("up", len(buf)), out=total[1:])
+    np.cumsum(((_LOWER if fold else _SAME)[buf].astype(np.uint64) + np.uint64(1)) * _power("up", len(buf)), out=total[1:])
     h = (total[end] - total[start]) * _power("down", len(buf))[start]
     return start, mix(h ^ ((end - start).astype(np.uint64) << np.uint64(40)))
 
 
-def _long(data: bytes) -> np.ndarray:
+def _long(data: bytes, fold: bool) -> np.ndarray:
     """Hashes of the words of a long text, a piece at a time."""
     found, at = [], 0
     while at < len(data):
@@ -109,18 +113,18 @@ def _long(data: bytes) -> np.ndarray:
             else:  # a word that is longer than a piece
                 while to < len(data) and not SPACE[data[to]]:
                     to += 1
-        found.append(_piece(data[at:to])[1])
+        found.append(_piece(data[at:to], fold)[1])
         at = to
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z taken as
-    a-z, in order; and how many words each text has."""
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, with ``fold`` A-Z
+    taken as a-z, in order; and how many words each text has."""
     if len(texts) == 1:
-        h = _long(texts[0])
+        h = _long(texts[0], fold)
         return h, np.array([len(h)], dtype=np.int64)
-    start, h = _piece(b"\n".join(texts))
+    start, h = _piece(b"\n".join(texts), fold)
     first = np.cumsum([0] + [len(x) + 1 for x in texts])
     return h, np.diff(np.searchsorted(start, first))
 
