@@ -26,13 +26,14 @@ def _same(docs: DataFrame, other: DataFrame) -> Column:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule, or whose host is rejected, go.
+    """Documents that fail the base rule go, those of hosts that mostly fail, and those that
+    fail a rule by which their host is worse than others.
 
-    Null ids and hosts are judged as others are; a null text fails; repeated rows stay or go together.
+    Null ids and hosts are judged as others are; a null text fails; equal rows stay or go together.
     """
     own = docs.select(*COLUMNS, _key().alias("_key"))
-    kept = quality.judge(own, ["doc_id", "_key"]).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).distinct()
-    return own.join(kept, _same(own, kept), "left_semi").select(COLUMNS)
+    kept = quality.judge(own, ["doc_id", "_key", "source"]).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), F.col("source").alias("_source")).distinct()
+    return own.join(kept, _same(own, kept) & own["source"].eqNullSafe(kept["_source"]), "left_semi").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
