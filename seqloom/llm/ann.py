@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are fitted on a bounded sample and index every vector. A query searches
-all trees through one priority queue of cells, nearest first, until the leaves it has
-taken hold enough vectors; candidates are ranked by exact inner products, leaf block
-by leaf block.
+Inner products become distances on a sphere: vectors are scaled by the largest norm and
+given one more component that brings each to norm 1, queries are scaled to norm 1. The
+trees are fitted on a bounded sample and index every vector. A query searches all trees
+through one priority queue of cells, nearest first, up to the distance at which a
+neighbour is unlikely to lie beyond; candidates are ranked by exact inner products.
 """
 
 from __future__ import annotations
@@ -12,20 +13,19 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows that the trees are fitted on; trees; their depth at least, and the leaf that a greater depth aims at.
-FIT_ROWS, TREES, DEPTH, LEAF = 16_384, 4, 8, 4_096
-#: A query takes leaves (of all trees together) until these hold this share of the
-#: number of all vectors (leaves of different trees overlap), and so many at least.
-SHARE, LEAST = 1.0, 8_000
-#: Vectors, and queries, that meet in one task at most.
-BLOCK, QUERIES = 1_024, 8_192
+#: Rows that the trees are fitted on, trees, and vectors that a leaf aims at.
+FIT_ROWS, TREES, LEAF = 16_384, 4, 256
+#: How far a query looks. Along a random direction, a neighbour at distance r lies off by
+#: r / sqrt(dimensions) in the mean square; cells REACH times as far off are searched.
+REACH = 1.2
+#: Subtrees of a tree, at least, that are searched in a task each; vectors, and queries, that meet in one at most.
+BINS, BLOCK, QUERIES = 8, 8_192, 16_384
 
 
 class Forest:
@@ -59,122 +59,187 @@ class Forest:
                 out[:, t] = 2 * out[:, t] + (np.einsum("ij,ij->i", x, planes[at].astype(np.float64)) > cuts[at])
         return out
 
-    def search(self, x: np.ndarray, sizes: np.ndarray, enough: float) -> list[tuple[int, int]]:
-        """Leaves (tree, leaf) by the squared distance to their cells, across all trees,
-        until they hold ``enough`` vectors."""
+    def search(self, x: np.ndarray, reach: float) -> list[tuple[int, int]]:
+        """Leaves (tree, leaf) across all trees by the squared distance to their cells (the
+        sum over the planes in between), up to ``reach``; one leaf of each tree at least."""
         margins = [(p @ x - c).tolist() for p, c in zip(self.planes, self.cuts, strict=True)]
         queue = [(0.0, t, 0, 0) for t in range(len(self.planes))]
-        found, held = [], 0
-        while queue and held < enough:
+        found = []
+        while queue and queue[0][0] <= reach:
             far, t, level, node = heapq.heappop(queue)
             while level < self.depth:
                 m = margins[t][(1 << level) - 1 + node]
                 near = m > 0
                 heapq.heappush(queue, (far + m * m, t, level + 1, 2 * node + (not near)))
                 node, level = 2 * node + near, level + 1
-            if sizes[t, node]:
-                found.append((t, node))
-                held += int(sizes[t, node])
+            found.append((t, node))
         return found
 
 
 def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, vec as doubles) of the vectors that take part: not null, without null or
-    non-finite components, not zero, and of the most frequent number of dimensions."""
+    non-finite components, not zero; shorter ones are filled with zeros."""
     v = F.col("vec")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     own = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     own = own.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(~bad & F.exists(v, lambda x: x != 0))
-    dims = own.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return own.where(F.size(v) == (dims["d"] if dims else 0))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    longest = own.agg(F.max(F.size(v))).first()[0] or 0
+    return own.select("id", F.when(F.size(v) < longest, F.concat(v, F.array_repeat(F.lit(0.0), F.lit(longest) - F.size(v)))).otherwise(v).alias("vec"))
+
+
+def _on_sphere(x: np.ndarray, scale: float, largest: float) -> np.ndarray:
+    """Vectors scaled by the largest norm, with the component that brings each to norm 1."""
+    x = x / scale / largest
+    return np.concatenate([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))[:, None]], axis=1)
+
+
+def _asked(x: np.ndarray, scale: float) -> np.ndarray:
+    """Queries scaled to norm 1, with a component of 0."""
+    x = x / scale
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))], axis=1)
+
+
+def _best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of ids, x) and scores of the ``k`` ids nearest to ``q`` among those that ``may``;
+    of an id the nearest row."""
+    rough = np.where(may, x @ q, -np.inf)
+    room, n = k, int(may.sum())
+    while True:  # more than k rows are looked at only where ids repeat
+        if room < n:
+            edge = np.partition(rough, len(rough) - room)[len(rough) - room]
+            slack = 1e-9 * float(np.abs(x).max() * np.abs(q).sum())  # rough scores are off by less
+            at = np.flatnonzero(may & (rough >= edge - slack))
+        else:
+            at = np.flatnonzero(may)
+        score = (x[at] * q).sum(axis=1)
+        order = np.lexsort((ids[at], -score))
+        first = np.sort(np.unique(ids[at][order], return_index=True)[1])[:k]
+        if len(first) == k or room >= n:
+            return at[order[first]], score[order[first]]
+        room *= 8
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", reach: float = REACH) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` found for each query with the
     largest inner products (in double precision, on the vectors as given), nearest
     first, ties to the smaller id.
 
-    Vectors that are null, zero or of other dimensions than most, or hold null or
-    non-finite components, take no part, nor do rows with a null id. A query's own id
-    is no candidate. Of repeated ids the nearest vector counts. With fewer than ``k``
-    candidates all are returned; an empty table gives an empty result.
+    Vectors that are null or zero, or hold null or non-finite components, take no part,
+    nor do rows with a null id; shorter vectors count as followed by zeros. A query's
+    own id is no candidate. Of repeated ids the nearest vector counts, and an id asked
+    with several vectors has the best of all. With fewer than ``k`` candidates all are
+    returned; an empty table gives an empty result. Only ``key`` and
+    ``vector`` are read.
     """
     spark = vectors.sparkSession
     own = cut(usable(vectors, key, vector), "vectors")
-    total = own.count()
+    scale = own.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
     kind = own.schema["id"].dataType.simpleString()
-    if not total:
+    if scale is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / scale) * (x / scale)))
+    total, largest = own.agg(F.count(F.lit(1)), F.max(norm)).first()
     asked = queries.select(F.col(key).alias("id")).distinct().join(own, "id")
     share = FIT_ROWS / total
-    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    fitted = own.where(spot < int(min(1.0, share) * (1 << 30))).orderBy(spot, "id").limit(FIT_ROWS).select("vec").toPandas()["vec"]
-    sample = np.stack([np.asarray(x) for x in fitted]) if len(fitted) else np.stack([np.asarray(own.first()["vec"])])
-    depth = int(max(1, min(max(DEPTH, np.ceil(np.log2(total / LEAF))), np.log2(max(4, len(sample))) - 1)))
-    forest = spark.sparkContext.broadcast(Forest(sample, TREES, depth))  # TREES * FIT_ROWS / 2 directions at most
+    spot = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30))
+    fitted = own.where(spot < int(min(1.0, share) * (1 << 30))).orderBy(spot, "id").limit(FIT_ROWS).toPandas()
+    fitted = fitted if len(fitted) else own.limit(1).toPandas()
+    sample = _on_sphere(np.stack([np.asarray(x, dtype=np.float64) for x in fitted["vec"]]), scale, largest)
+    depth = int(max(1, min(np.ceil(np.log2(max(2, total / LEAF))), np.log2(max(4, len(sample))) - 1)))
+    # the sample's neighbour that is as far as the k-th of all, or farther; an id is one neighbour
+    single = sample[~fitted["id"].duplicated().to_numpy()]
+    beyond = max(1, int(np.ceil(k * len(single) / own.select("id").distinct().count())))
+    # bounded by FIT_ROWS: TREES * FIT_ROWS / 2 directions, and the sample
+    fit = spark.sparkContext.broadcast((Forest(sample, TREES, depth), single.astype(np.float32)))
+    bins = min(1 << depth, max(BINS, 1 << max(0, int(np.ceil(np.log2(total / BLOCK))))))
+    wide = (1 << depth) // bins  # leaves of a bin
+    fields = f"tree int, leaf int, bin int, id {kind}, vec array<double>"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = forest.value.leaves(_matrix(batch.column(1)))
-            for t in range(leaves.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), t, dtype=np.int32)), pa.array(leaves[:, t]), *batch.columns], names=["tree", "leaf", "id", "vec"])
-
-    indexed = cut(own.mapInArrow(index, f"tree int, leaf long, id {kind}, vec array<double>"), "index")
-    sizes = np.zeros((TREES, 1 << depth), dtype=np.int64)
-    for r in indexed.groupBy("tree", "leaf").count().collect():  # a row for each leaf
-        sizes[r["tree"], r["leaf"]] = r["count"]
-    enough = max(SHARE * total, min(TREES * total, LEAST))
-    parts = -(-asked.count() // QUERIES)
-    leaf_sizes = spark.sparkContext.broadcast(sizes)
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaves = fit.value[0].leaves(_on_sphere(_matrix(batch.column(1)), scale, largest)) if batch.num_rows else np.empty((0, TREES), dtype=np.int64)
+            for t in range(TREES):
+                columns = [np.full(len(leaves), t, dtype=np.int32), leaves[:, t].astype(np.int32), (leaves[:, t] // wide).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *batch.columns], names=["tree", "leaf", "bin", "id", "vec"])
+
+    indexed = cut(own.mapInArrow(index, fields), "index")
+    sizes = np.zeros((TREES, bins), dtype=np.int64)
+    for r in indexed.groupBy("tree", "bin").count().collect():  # a row for each bin, bounded as the trees are
+        sizes[r["tree"], r["bin"]] = r["count"]
+    blocks = F.pmod(F.xxhash64("id", "vec"), F.ceil(_lookup(sizes) / BLOCK))
+
+    def search(asked: DataFrame, reach: float) -> DataFrame:
+        """(query_id, vec_id, score): the best of every task that a query meets candidates in."""
+        parts = max(1, -(-asked.count() // QUERIES))
+        left = indexed.withColumn("block", blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = asked.mapInArrow(visit(reach), f"tree int, bin int, block long, leaves array<int>, id {kind}, vec array<double>").withColumn("part", F.pmod(F.hash("id"), F.lit(parts)))
+        by = ["tree", "bin", "block", "part"]
+        return left.select(*by, "leaf", "id", "vec").groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, f"query_id {kind}, vec_id {kind}, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def visit(reach: float):
+        return lambda batches: _visit(batches, reach)
+
+    def _visit(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
+        forest, known = fit.value
         for batch in batches:
-            x = _matrix(batch.column(1))
-            for i in range(len(x)):
-                got = forest.value.search(x[i], leaf_sizes.value, enough)
-                at = [(t, leaf, b) for t, leaf in got for b in range(-(-int(leaf_sizes.value[t, leaf]) // BLOCK))]
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*at, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, *(c.take(pa.array(np.full(len(at), i))) for c in batch.columns)], names=["tree", "leaf", "block", "id", "vec"])
-
-    blocks = F.ceil(_lookup(sizes) / BLOCK)
-    left = indexed.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(parts - 1, 0)))))
-    right = asked.mapInArrow(visit, f"tree int, leaf long, block long, id {kind}, vec array<double>")
-    right = right.withColumn("part", F.pmod(F.hash("id"), F.lit(max(parts, 1))))
-
-    def rank(candidates: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(visits):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
-        candidates = candidates.sort_values("id", kind="stable")
-        ids, x = candidates["id"].to_numpy(), np.stack(candidates["vec"].to_numpy())
-        out = []
-        for q, v in zip(visits["id"], visits["vec"], strict=True):
-            score = (x * np.asarray(v)).sum(axis=1)
-            score[ids == q] = -np.inf
-            best = np.argsort(-score, kind="stable")[: k + 1]  # ids ascend, so ties go to the smaller
-            best = best[score[best] > -np.inf][:k]
-            out.append((q, ids[best], score[best]))
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
-
-    by = ["tree", "leaf", "block", "part"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(rank, f"query_id {kind}, ids array<{kind}>, scores array<double>")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        all_ = pd.DataFrame({"vec_id": np.concatenate(pdf["ids"].to_numpy()), "score": np.concatenate(pdf["scores"].to_numpy())})
-        all_ = all_.sort_values(["score", "vec_id"], ascending=[False, True], kind="stable").drop_duplicates("vec_id").head(k)
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "rank": np.arange(1, len(all_) + 1, dtype=np.int32), "vec_id": all_["vec_id"].to_numpy(), "score": all_["score"].to_numpy()})
-
-    return found.groupBy("query_id").applyInPandas(merge, f"query_id {kind}, rank int, vec_id {kind}, score double")
+            if not batch.num_rows:
+                continue
+            z = _asked(_matrix(batch.column(1)), scale)
+            for a in range(0, len(z), 256):
+                near = z[a : a + 256].astype(np.float32) @ known.T
+                near = np.partition(near, -min(beyond + 1, near.shape[1]), axis=1)[:, -min(beyond + 1, near.shape[1])]  # a query is in the sample itself, maybe
+                bounds = reach * reach * np.maximum(0.0, 2 - 2 * near.astype(np.float64)) / z.shape[1]
+                at, rows = {}, []
+                for i, bound in enumerate(bounds.tolist(), a):
+                    for t, leaf in forest.search(z[i], bound):
+                        at.setdefault((i, t, leaf // wide), []).append(leaf)
+                for (i, t, b), leaves in at.items():
+                    rows += [(t, b, x, i, leaves) for x in range(-(-int(sizes[t, b]) // BLOCK))]
+                t, b, x, i, leaves = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                own_rows = pa.array(i, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.int64()), pa.array(leaves, pa.list_(pa.int32())), batch.column(0).take(own_rows), batch.column(1).take(own_rows)], names=["tree", "bin", "block", "leaves", "id", "vec"])
+
+    def rank(candidates: pa.Table, visits: pa.Table) -> pa.Table:
+        asked_ids, out = visits.column("id").to_numpy(), ([], [], [])
+        if candidates.num_rows and visits.num_rows:
+            ids, x, q = candidates.column("id").to_numpy(), _matrix(candidates.column("vec")), _matrix(visits.column("vec"))
+            leaf = candidates.column("leaf").to_numpy() % wide
+            for i, leaves in enumerate(visits.column("leaves").to_pylist()):
+                open_ = np.zeros(wide, dtype=bool)
+                open_[np.array(leaves) % wide] = True
+                rows, score = _best(ids, x, q[i], open_[leaf] & (ids != asked_ids[i]), k)
+                out[0].append(np.full(len(rows), i))
+                out[1].append(rows)
+                out[2].append(score)
+        i, rows, score = (np.concatenate(v) if v else np.empty(0, dtype=np.int64) for v in out)
+        columns = [visits.column("id").take(pa.array(i, pa.int64())), candidates.column("id").take(pa.array(rows, pa.int64())), pa.array(score, pa.float64())]
+        return pa.table(columns, names=["query_id", "vec_id", "score"])
+
+    got = cut(best(search(asked, reach)), "nearest")
+    # few neighbours in reach (of ids that repeat, say): such queries search every leaf
+    full = got.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") == k)
+    short = cut(asked.join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return got
+    return got.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(best(search(short, float("inf"))))
 
 
 def _lookup(sizes: np.ndarray):
-    """The size of the row's leaf, from a literal map of the leaves that need several blocks."""
-    large = [(int(t), int(leaf)) for t, leaf in zip(*np.nonzero(sizes > BLOCK), strict=True)]
+    """The size of the row's bin, from a literal map of the bins that need several blocks."""
+    large = [(int(t), int(b)) for t, b in zip(*np.nonzero(sizes > BLOCK), strict=True)]
     if not large:
         return F.lit(1)
-    table = F.create_map(*(x for t, leaf in large for x in (F.lit(t * sizes.shape[1] + leaf), F.lit(int(sizes[t, leaf])))))
-    return F.coalesce(F.try_element_at(table, (F.col("tree") * sizes.shape[1] + F.col("leaf")).cast("int")), F.lit(1))
+    table = F.create_map(*(x for t, b in large for x in (F.lit(t * sizes.shape[1] + b), F.lit(int(sizes[t, b])))))
+    return F.coalesce(F.try_element_at(table, (F.col("tree") * sizes.shape[1] + F.col("bin")).cast("int")), F.lit(1))

@@ -415,42 +415,99 @@ def test_templates_learn_from_labels(spark):
     assert {r["template"] for r in url_filter.judge(many, labels, [], ["page_id"]).collect()} == {"/item/*/view"}
 
 
-def nearest_of(ids, x, k):
-    out = {}
-    for i, v in zip(ids, x, strict=True):
-        if i % 20 == 0:
-            score = (x * v).sum(axis=1)
-            order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
-            out[i] = [(int(ids[j]), float(score[j])) for j in order]
+def nearest_of(ids, x, k, asked):
+    """By query id: the k nearest ids by brute force, of an id the nearest vector."""
+    out, all_ids = {}, np.unique(ids)
+    for i in asked:
+        score = np.full(len(all_ids), -np.inf)
+        for v in x[ids == i]:
+            np.maximum.at(score, np.searchsorted(all_ids, ids), (x * v).sum(axis=1))
+        score[all_ids == i] = -np.inf
+        order = np.lexsort((all_ids, -score))[: min(k, len(all_ids) - 1)]
+        out[int(i)] = [(int(all_ids[j]), float(score[j])) for j in order]
     return out
 
 
-def test_nearest_is_exact_on_few(spark, sf):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    bad = [(10_000, None), (10_020, [0.0] * 64), (10_040, [None] * 64), (10_060, [float("nan")] * 64), (10_080, [float("inf")] + [1.0] * 63), (10_100, [1.0]), (10_120, [])]
-    copies = [(20_000 + i, rows[3][1]) for i in range(60)]
-    df = spark.createDataFrame(rows + bad + copies, "vec_id long, embedding array<float>")
-    good = rows + copies
-    true = nearest_of(np.array([i for i, _ in good]), np.array([v for _, v in good], dtype=float), 20)
+def found_and_true(spark, rows, asked, k=20):
+    df = spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    good = [(i, v) for i, v in rows if i is not None and v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(c != 0 for c in v)]
+    width = max((len(v) for _, v in good), default=0)
+    x = np.array([[*v, *[0.0] * (width - len(v))] for _, v in good], dtype=float)
+    ids = np.array([i for i, _ in good])
+    true = nearest_of(ids, x, k, sorted({int(i) for i in ids} & set(asked)))
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"], r["rank"]))
-    assert set(got) == set(true)
-    for q, rows_ in got.items():
-        assert [x[0] for x in rows_] == [x[0] for x in true[q]] and np.allclose([x[1] for x in rows_], [x[1] for x in true[q]], rtol=0, atol=1e-12) and [x[2] for x in rows_] == list(range(1, 21))
-    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0 and ann.nearest(df.limit(1), df.limit(1)).count() == 0
+    for r in ann.nearest(df, df.where(F.col("vec_id").isin(list(asked))), k).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) <= set(true)
+    best = {i: x[ids == i] for i in set(ids.tolist())}
+    for q, own in got.items():
+        assert [r for r, _, _ in own] == list(range(1, len(own) + 1)) and len({i for _, i, _ in own}) == len(own) and q not in {i for _, i, _ in own}
+        assert own == sorted(own, key=lambda r: (-r[2], r[1]))
+        for _, i, s in own:  # each score is exact, of the id's nearest vector
+            assert math.isclose(s, max(float((u * v).sum()) for u in best[q] for v in best[i]), rel_tol=0, abs_tol=1e-12)
+    recall = [len({i for _, i, _ in got.get(q, [])} & {i for i, _ in t}) / len(t) for q, t in true.items() if t]
+    return got, true, recall
+
+
+def test_nearest_of_odd_vectors(spark, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    bad = [(None, rows[0][1]), (10_000, None), (10_020, [0.0] * 64), (10_040, [None] * 64), (10_060, [float("nan")] * 64), (10_080, [float("inf")] + [1.0] * 63), (10_120, [])]
+    more = [(10_100, [1.0]), (10_140, [3.0 * x for x in rows[5][1]])] + [(20_000 + i, rows[3][1]) for i in range(60)] + [(30_000, [x + i / 1000 for x in rows[40][1]]) for i in range(60)]
+    asked = [i for i, _ in rows + more if i % 20 == 0] + [i for i, _ in bad if i]
+    got, true, recall = found_and_true(spark, rows + bad + more, set(asked))
+    assert set(got) == set(true) and 10_100 in got and np.mean(recall) >= 0.95 and min(recall) >= 0.6
+    for few in ([], rows[:1], rows[:3], bad):
+        got, true, recall = found_and_true(spark, few, {i for i, _ in few if i is not None})
+        assert all(len(got.get(q, [])) == len(t) for q, t in true.items()) and all(r == 1 for r in recall)
+
+
+@pytest.mark.parametrize("asked", [1, 3])
+def test_few_queries_leave_most_leaves_unvisited(spark, asked):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.1 * rng.normal(size=16)).tolist()) for i in range(3200)]
+    got, true, recall = found_and_true(spark, rows, set(range(5, 5 + asked)))
+    assert set(got) == set(true) and np.mean(recall) >= 0.9
+
+
+def test_work_follows_the_data():
+    """Far fewer leaves are searched where neighbours are near; recall holds on uniform vectors."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    centres, n = rng.normal(size=(100, 48)), 12_000
+    share = {}
+    for name, x in (("uniform", unit(rng.normal(size=(n, 48)))), ("clustered", unit(centres[rng.integers(0, 100, n)] + 0.3 * rng.normal(size=(n, 48))))):
+        x = ann._on_sphere(x, 1.0, 1.0)
+        forest = ann.Forest(x, 4, 6)
+        leaves = forest.leaves(x)
+        seen = []
+        for q in range(60):
+            s = x @ x[q]
+            top = np.argsort(-s)[1:21]
+            got = set(forest.search(x[q], ann.REACH**2 * (2 - 2 * s[top[-1]]) / x.shape[1]))
+            seen.append((np.mean([any((t, leaves[j, t]) in got for t in range(4)) for j in top]), len(got) / 256))
+        recall, share[name] = np.mean(seen, axis=0)
+        assert recall >= 0.9
+    assert share["clustered"] < share["uniform"] / 2
 
 
 def test_recall_of_many(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(12_000, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    true = nearest_of(np.arange(len(x)), x, 20)
-    got = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    assert np.mean([len(got[q] & {i for i, _ in v}) / 20 for q, v in true.items()]) >= 0.9
+    _, _, recall = found_and_true(spark, [(i, v.tolist()) for i, v in enumerate(x)], set(range(0, 12_000, 20)))
+    assert np.mean(recall) >= 0.9 and min(recall) >= 0.5
+
+
+def test_repeated_ids_do_not_push_others_out(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=8)
+    rows = [(1, (base + 0.01 * rng.normal(size=8)).tolist()) for _ in range(300)] + [(10 + i, (base + 0.05 * rng.normal(size=8)).tolist()) for i in range(40)] + [(0, base.tolist())]
+    got, true, recall = found_and_true(spark, rows, {0, 1})
+    assert all(len(v) == 20 for v in got.values()) and min(recall) >= 0.9
+    lonely = [(1, (base + 0.01 * rng.normal(size=8)).tolist()) for _ in range(3000)] + [(10 + i, rng.normal(size=8).tolist()) for i in range(40)] + [(0, base.tolist())]
+    got, true, recall = found_and_true(spark, lonely, {0})  # all that is in reach has one id
+    assert len(got[0]) == 20 and min(recall) == 1
 
 
 def test_lm(spark, odd, documents):
