@@ -1,9 +1,10 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 Texts are cut where a rolling hash of their bytes says so, so that copies of a
-passage fall into the same chunks wherever they stand. The inside of a chunk is
-encoded once and kept; where two chunks join, the text around the join is encoded
-anew, widened until it begins and ends at white space, where both encodings agree.
+passage fall into the same chunks wherever they stand. A chunk is encoded once, as it
+is, and kept by its digest. A cut through a word leaves two wrong encodings beside it:
+the library encodes a window around the join anew, and the window grows until its
+outermost words have the same ids as in the chunks on both sides.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ from pyspark.sql import functions as F
 from .common import SPACE, Kept, as_bytes, pieces
 
 #: Bytes that the rolling hash sees, and the mean length of a chunk (a power of two).
-ROLLING, MEAN_CHUNK = 16, 1024
-#: Bounds of the caches: bytes of kept chunks, words, and the longest word that is kept.
-CHUNK_CACHE_BYTES, WORD_CACHE, KEPT_WORD = 24 << 20, 500_000, 64
+ROLLING, MEAN_CHUNK = 16, 2048
+#: Bounds of the caches: chunks, the longest that is kept (bytes), words, and the longest word that is kept.
+CHUNK_CACHE, KEPT_CHUNK, WORD_CACHE, KEPT_WORD = 4_096, 16_384, 500_000, 64
 _RNG = np.random.default_rng(20240607)
 #: A value for each byte, for the rolling hash.
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint64)
 
 
 def cuts(data: bytes, mean: int = MEAN_CHUNK) -> list[int]:
-    """Ends of the chunks of ``data``; a cut depends on the ROLLING bytes before it only."""
+    """Ends of the chunks of UTF-8 ``data``; a cut depends on the ROLLING bytes before it
+    only, and is put off to the end of a code point that it would split."""
     if len(data) <= ROLLING:
         return [len(data)] if data else []
     gear = _GEAR[np.frombuffer(data, dtype=np.uint8)]
@@ -37,16 +39,19 @@ def cuts(data: bytes, mean: int = MEAN_CHUNK) -> list[int]:
     for k in range(ROLLING):
         h += gear[k : k + len(h)] << np.uint64(ROLLING - 1 - k)
     at = np.flatnonzero((h >> np.uint64(8)) % np.uint64(mean) == 0) + ROLLING
-    out = at[at < len(data)].tolist()
-    return [*out, len(data)]
+    more = (np.frombuffer(data, dtype=np.uint8) & 0xC0) == 0x80
+    for _ in range(3):
+        at = at[at < len(data)]
+        at = at + more[at]
+    return [*dict.fromkeys(at[at < len(data)].tolist()), len(data)]
 
 
 class Encoder:
     """Encodes and decodes texts as the tokenizer's library does, by chunks.
 
-    Chunks may be joined at white space if no token, normalisation or special token
-    of the tokenizer spans ASCII white space; `safe` says whether that holds. If
-    not, whole texts go to the library.
+    Ids belong to words if no token, normalisation or special token of the tokenizer
+    spans ASCII white space; `safe` says whether that holds. If not, whole texts go to
+    the library, as does a text in which a join finds no agreement.
     """
 
     def __init__(self, path: str):
@@ -61,8 +66,9 @@ class Encoder:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.digits = [str(i).encode() for i in range(size)]
         self.names = [(self.library.id_to_token(i) or "").encode() for i in range(size)]
-        self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.held = 0
+        self.chunks = Kept(CHUNK_CACHE)
+        #: Bytes of all texts, of chunks that were encoded, and of windows around joins.
+        self.seen, self.encoded, self.repaired = 0, 0, 0
 
     @staticmethod
     def _splits_at_space(conf: dict) -> bool:
@@ -79,66 +85,92 @@ class Encoder:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return len(ids), " ".join(map(str, ids)).encode(), self.library.decode(ids, skip_special_tokens=False).encode()
 
-    def _new(self, words: list[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
-        """Encodings of different words, by one call: they stand between spaces, where encodings agree."""
+    def _library(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Encodings of words that follow each other, by one call."""
         texts = [w.decode("utf-8") for w in words]
         got = self.library.encode(" ".join(texts), add_special_tokens=False)
         ids, first = got.ids, [a for a, _ in got.offsets]
         ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts])).tolist()
-        out, at = {}, 0
-        for word, to in zip(words, ends, strict=True):
+        out, at = [], 0
+        for to in ends:
             own = ids[at:to]
-            out[word] = found = len(own), b" ".join([self.digits[i] for i in own]), b" ".join([self.names[i] for i in own])
+            out.append((len(own), b" ".join([self.digits[i] for i in own]), b" ".join([self.names[i] for i in own])))
             at = to
-            if len(word) <= KEPT_WORD:
-                self.words.put(word, found)
         return out
 
-    def _words(self, data: bytes) -> list[tuple[int, bytes, bytes]]:
-        """Encodings of text that begins and ends at white space."""
-        words = data.split()
+    def _words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Encodings of words, of those that are not kept by one call."""
         got = list(map(self.words.young.get, words))
         if None in got:
             got = [self.words.get(w) if x is None else x for w, x in zip(words, got, strict=True)]
             missing = list(dict.fromkeys(w for w, x in zip(words, got, strict=True) if x is None))
             if missing:
-                new = self._new(missing)
+                new = dict(zip(missing, self._library(missing), strict=True))
+                for w, x in new.items():
+                    if len(w) <= KEPT_WORD:
+                        self.words.put(w, x)
                 got = [new[w] if x is None else x for w, x in zip(words, got, strict=True)]
-        return [x for x in got if x[0]]
+        return got
 
-    def _chunk(self, data: bytes) -> tuple[int, bytes, bytes]:
+    def _chunk(self, data: bytes) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+        """The words of a chunk, cut ones at its ends as they are, and their encodings."""
         key = hashlib.blake2b(data, digest_size=16).digest()
         got = self.chunks.get(key)
         if got is None:
-            parts = self._words(data)
-            got = sum(x[0] for x in parts), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
-            size = len(got[1]) + len(got[2]) + 200
-            if size < CHUNK_CACHE_BYTES // 16:
-                if self.held + size > CHUNK_CACHE_BYTES:
-                    self.chunks.clear()
-                    self.held = 0
-                self.chunks[key] = got
-                self.held += size
+            words = data.split()
+            got = words, self._words(words)
+            self.encoded += len(data)
+            if len(data) <= KEPT_CHUNK:
+                self.chunks.put(key, got)
         return got
 
+    def _repair(self, before: tuple[list, list], word: bytes, after: tuple[list, list]) -> bool:
+        """Encodes ``word``, which a join cut, and the words around it anew, and puts what
+        comes out into ``before``; False if no window agrees with both sides."""
+        (words, parts), (next_words, next_parts) = before, after
+        reach = 1
+        while True:
+            lo, hi = max(0, len(words) - reach), min(reach, len(next_words))
+            window = [*words[lo:], word, *next_words[:hi]]
+            got = self._library(window)
+            self.repaired += sum(map(len, window))
+            # at the beginning of the text there is nothing to agree with
+            if (lo == 0 or got[0] == parts[lo]) and (not hi or got[-1] == next_parts[hi - 1]):
+                k = len(words) - lo
+                parts[lo:] = got[: k + 1]
+                words.append(word)
+                next_parts[:hi] = got[k + 1 :]
+                return True
+            if lo == 0 and hi == len(next_words):
+                return False
+            reach *= 2
+
     def encode(self, data: bytes) -> tuple[int, bytes, bytes]:
         """Tokens, their decimal ids joined by one space, and the decoded text."""
         if not self.safe:
             return self._whole(data.decode("utf-8"))
-        parts, join, at = [], [], 0  # join: what stands between the insides of two chunks
-        for to in cuts(data):
-            chunk, at = data[at:to], to
-            inner = np.flatnonzero(SPACE[np.frombuffer(chunk, dtype=np.uint8)])
-            if not len(inner):  # no place inside where encodings agree: the join is widened over the chunk
-                join.append(chunk)
-                continue
-            a, b = int(inner[0]), int(inner[-1])
-            parts += self._words(b"".join([*join, chunk[:a]]))
-            parts.append(self._chunk(chunk[a:b]))
-            join = [chunk[b:]]
-        parts += self._words(b"".join(join))
+        self.seen += len(data)
+        words, parts, cut_word, at = [], [], [], 0  # cut_word: pieces of a word that joins go through
+        ends = cuts(data)
+        for to in ends:
+            new = self._chunk(data[at:to])
+            new_words, new_parts = list(new[0]), list(new[1])
+            if at and not SPACE[data[at - 1]] and not SPACE[data[at]]:
+                if not cut_word:
+                    cut_word.append(words.pop())
+                    parts.pop()
+                cut_word.append(new_words.pop(0))
+                new_parts.pop(0)
+            at = to
+            goes_on = not new_words and to < len(data) and not SPACE[data[to - 1]] and not SPACE[data[to]]
+            if cut_word and not goes_on:
+                if not self._repair((words, parts), b"".join(cut_word), (new_words, new_parts)):
+                    return self._whole(data.decode("utf-8"))
+                cut_word = []
+            words += new_words
+            parts += new_parts
         parts = [x for x in parts if x[0]]
-        return sum(x[0] for x in parts), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
+        return sum([x[0] for x in parts]), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
 
 
 _encoders: dict[str, Encoder] = {}

@@ -88,17 +88,52 @@ def test_bpe(odd, documents):
                 assert r["decoded"] == decoded and r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def test_bpe_chunks_are_shared_and_cover_the_text():
+def test_bpe_chunks_are_shared_and_joins_repaired():
     rng = np.random.default_rng(1)
-    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).tolist()) for _ in range(4000)]
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).tolist()) for _ in range(8000)]
     a, b = b" ".join(words), b"prefix of its own " + b" ".join(words[1000:])
     assert bpe.cuts(a)[-1] == len(a) and bpe.cuts(b"") == []
     encoder = bpe.Encoder(tokenizer("word_bpe_49k.json"))
-    encoder.encode(a)
-    before = len(encoder.chunks)
-    got = encoder.encode(b)
-    assert len(encoder.chunks) - before < before / 4
-    assert got[1].decode().split() == [str(i) for i in encoder.library.encode(b.decode(), add_special_tokens=False).ids]
+    ids = lambda x: [str(i) for i in encoder.library.encode(x.decode(), add_special_tokens=False).ids]
+    assert encoder.encode(a)[1].decode().split() == ids(a)
+    encoded, repaired = encoder.encoded, encoder.repaired
+    assert encoded == len(a) and 0 < repaired < len(a) / 20  # little is encoded anew around joins
+    assert encoder.encode(b)[1].decode().split() == ids(b)
+    assert encoder.encoded - encoded < len(b) / 4  # most chunks of the copy are there already
+
+
+def test_bpe_of_texts_cut_everywhere(monkeypatch):
+    """Chunks of a few bytes: cuts go through words, code points, special tokens and marks to be composed."""
+    rng = np.random.default_rng(2)
+    pieces_ = ["e\u0301", "\u00e9", "n't", "<|endoftext|>", "<|startoftext|>", "\U00010940", "\u2003", " ", "  ", "\n", "12", "'s", "\u0130", "abc", "\ud55c", "\u1112\u1161\u11ab", "!?", "x" * 60]
+    encoder = bpe.Encoder(tokenizer("word_bpe_49k.json"))
+    whole = encoder.library
+    for mean in (1, 3, 16):
+        monkeypatch.setattr(bpe.cuts, "__defaults__", (mean,))
+        encoder.chunks = bpe.Kept(64)
+        for _ in range(300):
+            t = "".join(rng.choice(pieces_, rng.integers(1, 60)))
+            data = t.encode()
+            assert all((data[c] & 0xC0) != 0x80 for c in bpe.cuts(data)[:-1])
+            ids = whole.encode(t, add_special_tokens=False).ids
+            assert encoder.encode(data) == (len(ids), " ".join(map(str, ids)).encode(), whole.decode(ids, skip_special_tokens=False).encode())
+    long = ("z" * 300_000).encode()
+    assert encoder.encode(long)[0] == len(whole.encode(long.decode(), add_special_tokens=False).ids)
+
+
+def test_bpe_window_widens_until_both_sides_agree():
+    encoder = bpe.Encoder(tokenizer("word_bpe_49k.json"))
+    words = [f"w{i}".encode() for i in range(12)]
+    right = encoder._words(words)
+    for wrong, fits in ((0, 1), (2, 4), (5, None)):  # so many words on each side of the join have wrong encodings
+        left, after = list(right[:5]), list(right[6:])
+        for k in range(wrong):
+            left[-1 - k], after[k] = (0, b"", b""), (0, b"", b"")
+        before = (list(words[:5]), left)
+        asked = []
+        encoder._library = lambda w: (asked.append(len(w)), bpe.Encoder._library(encoder, w))[1]
+        ok = encoder._repair(before, words[5], (list(words[6:]), after))
+        assert ok and before[1] + after == right and (fits is None or max(asked) == 2 * fits + 1)
 
 
 def spans_of(t):
