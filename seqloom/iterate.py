@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: str, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
+def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: str, max_rounds: int | None = None) -> tuple[DataFrame, int]:
     """Apply ``step`` until no row of the new state has ``changed`` true.
 
     Every state is written to the shared folder, so the plan of a round does not grow
     with the rounds before it. Returns the last state (with ``changed``) and the
-    number of rounds. Convergence is one scan of the state just written.
+    number of rounds; with ``max_rounds`` it may stop before, and the caller looks at
+    ``changed``. Convergence is one scan of the state just written.
     """
     rounds = 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         state = cut(step(state, rounds), "round")
         rounds += 1
         if state.where(F.col(changed)).isEmpty():

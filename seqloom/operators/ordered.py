@@ -240,3 +240,38 @@ def lower_bound(seq: DataFrame, keys: DataFrame) -> DataFrame:
     at = cut(positions(both.withColumn("_t", F.monotonically_increasing_id()), "key", "e", "_t").select("pos", "key", "e"), "bounds")
     before = scan(at.select("pos", F.col("e").alias("val")))
     return at.where("e = 0").join(before, "pos").select("key", F.col("val").alias("pos"))
+
+
+def map_split_at(seq: DataFrame, flag: Column, fold: Column) -> DataFrame:
+    """(piece, val): a fold of each non-empty piece of `split_at`."""
+    return split_at(seq, flag).groupBy("piece").agg(fold.alias("val"))
+
+
+def for_each(seq: DataFrame, action) -> None:
+    """Runs ``action`` on an iterator of the rows of each partition, on the executors."""
+    seq.foreachPartition(action)
+
+
+def keys_of(pairs: DataFrame) -> DataFrame:
+    """(pos, val): the first of each pair (pos, k, v)."""
+    return pairs.select("pos", F.col("k").alias("val"))
+
+
+def values_of(pairs: DataFrame) -> DataFrame:
+    """(pos, val): the second of each pair (pos, k, v)."""
+    return pairs.select("pos", F.col("v").alias("val"))
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows of both."""
+    return a.unionByName(b).distinct()
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows of ``a`` that are not in ``b``."""
+    return a.join(b, [a[c].eqNullSafe(b[c]) for c in a.columns], "left_anti").distinct()
+
+
+def intersection_size(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: n, how many distinct rows are in both."""
+    return a.distinct().join(b, [a[c].eqNullSafe(b[c]) for c in a.columns], "left_semi").agg(F.count(F.lit(1)).alias("n"))

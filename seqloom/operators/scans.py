@@ -16,6 +16,7 @@ from .ordered import _block
 #: Monoids: aggregate, identity, and how two results combine.
 MONOIDS: dict[str, tuple[Callable[[Column | str], Column], int | bool | None, Callable[[Column, Column], Column]]] = {
     "sum": (F.sum, 0, lambda a, b: a + b),
+    "product": (F.product, 1, lambda a, b: a * b),
     "min": (F.min, None, F.least),
     "max": (F.max, None, F.greatest),
     "bit_or": (F.bit_or, 0, lambda a, b: a.bitwiseOR(b)),
@@ -27,9 +28,17 @@ MONOIDS: dict[str, tuple[Callable[[Column | str], Column], int | bool | None, Ca
 
 
 def reduce(seq: DataFrame, *monoids: str, col: str = "val") -> DataFrame:
-    """One row with the fold of ``col`` by each monoid; of nothing, its identity."""
-    kind = dict(seq.dtypes)[col]
-    return seq.agg(*(F.coalesce(MONOIDS[m][0](col), F.lit(MONOIDS[m][1]).cast("boolean" if m.startswith("bool") else kind)).alias(m) for m in monoids))
+    """One row with the fold of ``col`` by each monoid, all in one pass; of nothing, its
+    identity. Products are doubles."""
+    return reduce_columns(seq, {m: (m, col) for m in monoids})
+
+
+def reduce_columns(seq: DataFrame, folds: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row with a fold for each name: (monoid, column). Folds of several columns by
+    several monoids are one composed monoid, combined map-side in one pass."""
+    kinds = dict(seq.dtypes)
+    kind = lambda m, c: "boolean" if m.startswith("bool") else "double" if m == "product" else kinds[c]
+    return seq.agg(*(F.coalesce(MONOIDS[m][0](c), F.lit(MONOIDS[m][1]).cast(kind(m, c))).alias(name) for name, (m, c) in folds.items()))
 
 
 def scan(seq: DataFrame, monoid: str = "sum", inclusive: bool = False) -> DataFrame:

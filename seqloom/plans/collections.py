@@ -179,8 +179,34 @@ def _(spark, d):
 
 @query("reduce_logical", SEQ + "SELECT bool_and(val > 0) AS bool_and, bool_or(val > 48000) AS bool_or, count(*) AS n FROM s")
 def _(spark, d):
-    s = seq(spark, d)
-    return s.agg(F.bool_and(F.col("val") > 0).alias("bool_and"), F.bool_or(F.col("val") > 48_000).alias("bool_or"), F.count(F.lit(1)).alias("n"))
+    s = seq(spark, d).select((F.col("val") > 0).alias("a"), (F.col("val") > 48_000).alias("b"), F.lit(1).cast("long").alias("one"))
+    return scans.reduce_columns(s, {"bool_and": ("bool_and", "a"), "bool_or": ("bool_or", "b"), "n": ("sum", "one")})
+
+
+@query("reduce_product", "SELECT product(CASE WHEN s_suppkey % 10 = 0 THEN 2.0 ELSE 1.0 END) AS product, min(s_nationkey) AS low, max(s_nationkey) AS high FROM supplier")
+def _(spark, d):
+    rows = table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 10 == 0, 2.0).otherwise(1.0).alias("val"), "s_nationkey")
+    return scans.reduce_columns(rows, {"product": ("product", "val"), "low": ("min", "s_nationkey"), "high": ("max", "s_nationkey")})
+
+
+@query("scan_product", SEQ + "SELECT pos, product(v) OVER (ORDER BY pos) AS val FROM (SELECT pos, CASE WHEN pos % 500 = 3 THEN 2.0 ELSE 1.0 END AS v FROM s)")
+def _(spark, d):
+    return scans.scan(seq(spark, d).select("pos", F.when(F.col("pos") % 500 == 3, 2.0).otherwise(1.0).alias("val")), "product", inclusive=True)
+
+
+@query("map_split_at", _PIECES + "SELECT CAST(piece AS BIGINT) AS piece, max(val) AS val FROM f GROUP BY 1")
+def _(spark, d):
+    return ordered.map_split_at(seq(spark, d), F.col("kind") == "error", F.max("val"))
+
+
+@query("keys_view", "SELECT o_orderkey AS pos, o_custkey AS val FROM orders")
+def _(spark, d):
+    return ordered.keys_of(table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v")))
+
+
+@query("values_view", "SELECT o_orderkey AS pos, o_custkey AS val FROM orders")
+def _(spark, d):
+    return ordered.values_of(table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("k"), F.col("o_custkey").alias("v")))
 
 
 @query("scan_exclusive", SEQ + "SELECT pos, CAST(coalesce(sum(val) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS val FROM s")
@@ -343,17 +369,17 @@ def _(spark, d):
 
 @query("set_union", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
 def _(spark, d):
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).unionByName(table(spark, d, "customer").select(F.col("c_custkey").alias("k"))).distinct()
+    return ordered.union(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")))
 
 
 @query("set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def _(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return ordered.difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
 
 
 @query("intersection_size", "SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey AS k FROM lineitem INTERSECT SELECT s_suppkey FROM supplier)")
 def _(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).distinct().join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), "k", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return ordered.intersection_size(table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")))
 
 
 @query("lower_bound", SEQ + "SELECT k AS key, (SELECT count(*) FROM s WHERE val < k) AS pos FROM (SELECT DISTINCT c_custkey * 7 AS k FROM customer)")

@@ -113,7 +113,18 @@ def _(spark, d):
     return traversal.shortest_paths(weighted, _one(spark)).select("id", "dist")
 
 
-@query("betweenness")
+def _between_sql(deepest: int = 12) -> str:
+    parts = [_BFS.rstrip(), ", p0 AS MATERIALIZED (SELECT id, CAST(1.0 AS DOUBLE) AS paths FROM b WHERE dist = 0)"]
+    for k in range(1, deepest + 1):
+        parts.append(f", p{k} AS MATERIALIZED (SELECT dst AS id, sum(paths) AS paths FROM p{k - 1} p JOIN h ON src = p.id JOIN b ON b.id = dst AND b.dist = {k} GROUP BY 1)")
+    parts.append(f", q{deepest} AS MATERIALIZED (SELECT id, paths, CAST(0.0 AS DOUBLE) AS dep FROM p{deepest})")
+    for k in range(deepest - 1, -1, -1):
+        parts.append(f", q{k} AS MATERIALIZED (SELECT p.id, p.paths, coalesce(p.paths * sum((1 + q.dep) / q.paths), 0.0) AS dep FROM p{k} p LEFT JOIN (h JOIN q{k + 1} q ON q.id = dst) ON src = p.id GROUP BY p.id, p.paths)")
+    rows = " UNION ALL ".join(f"SELECT id, CAST({k} AS INTEGER) AS dist, paths, round({'0.0' if k == 0 else 'dep'}, 6) AS dependency FROM q{k}" for k in range(deepest + 1))
+    return "".join(parts) + " " + rows
+
+
+@query("betweenness", _between_sql())
 def _(spark, d):
     got = traversal.betweenness(both_ways(part_graph(spark, d)[1]), 1)
     return got.select("id", "dist", "paths", F.round("dependency", 6).alias("dependency"))
@@ -229,7 +240,7 @@ def _(spark, d):
     return structure.set_cover(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("element")))
 
 
-@query("max_flow")
+@query("max_flow", "SELECT CAST(sum(least(c, 2 * s)) AS BIGINT) AS flow FROM (SELECT c_nationkey AS n, count(*) AS c FROM customer GROUP BY 1) JOIN (SELECT s_nationkey AS n, count(*) AS s FROM supplier GROUP BY 1) USING (n)")
 def _(spark, d):
     """From regions' customers to suppliers: a region gives as many as it has customers, a nation takes as many as twice its suppliers."""
     nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_regionkey").cast("long").alias("r"))
@@ -312,6 +323,19 @@ def _(spark, d):
     return generators.uniform_digraph(spark, 1000, 8)
 
 
+@query("generated_sizes", "SELECT CAST(10 + 495 * 3 AS BIGINT) AS preferential, CAST(500 * 5 - 15 AS BIGINT) AS small_world, true AS block_model, true AS uniform, true AS rmat")
+def _(spark, d):
+    """Edges: fixed by the parameters for the first two, within six standard deviations of the mean, or the draws, for the others."""
+    count = lambda df: df.select("src", "dst").distinct().count()
+    pairs = 2000 * 99 / 2, 2000 * 1900 / 2
+    mean, most = 0.05 * pairs[0] + 0.002 * pairs[1], lambda m: 6 * m**0.5
+    got = (
+        count(generators.barabasi_albert(spark, 500, 5, 3)), count(generators.watts_strogatz(spark, 500, 10, 0.1)), abs(count(generators.block_model(spark, 2000, 20, 0.05, 0.002)) - mean) < most(mean),
+        abs(count(generators.uniform_digraph(spark, 1000, 8)) - 8000) < most(8000), 10_000 < count(generators.rmat(spark, 1024, 20_480)) <= 20_480,
+    )
+    return spark.createDataFrame([got], "preferential long, small_world long, block_model boolean, uniform boolean, rmat boolean")
+
+
 @query("generate_preferential")
 def _(spark, d):
     return generators.barabasi_albert(spark, 500, 5, 3)

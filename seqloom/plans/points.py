@@ -47,14 +47,30 @@ def _(spark, d):
     return spatial.box_overlaps(boxes, 70.0)
 
 
-@query("ray_cast")
+_CROSS = lambda u, v: [f"({u}{i} * {v}{j} - {u}{j} * {v}{i})" for i, j in ((2, 3), (3, 1), (1, 2))]
+_DOT = lambda u, v: "(" + " + ".join(f"{a} * {b}" for a, b in zip(u, v, strict=True)) + ")"
+
+
+def _ray_sql() -> str:
+    name = lambda x: [f"{x}{i}" for i in (1, 2, 3)]
+    at = lambda x, k: ", ".join(f"embedding[{k + i}]::DOUBLE AS {x}{i}" for i in (1, 2, 3))
+    minus = lambda x, y, z: ", ".join(f"{y}{i} - {z}{i} AS {x}{i}" for i in (1, 2, 3))
+    named = lambda x, cols: ", ".join(f"{c} AS {x}{i}" for i, c in enumerate(cols, 1))
+    return f"""WITH r AS (SELECT vec_id AS ray, {at("o", 0)}, {at("d", 3)} FROM embeddings), t AS (SELECT vec_id AS tri, {at("a", 6)}, {at("b", 9)}, {at("c", 12)} FROM embeddings),
+ e AS (SELECT *, {minus("e", "b", "a")}, {minus("f", "c", "a")}, {minus("s", "o", "a")} FROM r, t), p AS (SELECT *, {named("p", _CROSS("d", "f"))}, {named("q", _CROSS("s", "e"))} FROM e),
+ x AS (SELECT *, {_DOT(name("e"), name("p"))} AS det FROM p), h AS (SELECT ray, tri, {_DOT(name("s"), name("p"))} / det AS u, {_DOT(name("d"), name("q"))} / det AS v, {_DOT(name("f"), name("q"))} / det AS t FROM x WHERE abs(det) > 1e-12),
+ n AS (SELECT ray, arg_min(tri, (t, tri)) AS tri, min(t) AS t FROM h WHERE u >= 0 AND v >= 0 AND u + v <= 1 AND t > 1e-12 GROUP BY 1)
+ SELECT r.ray, coalesce(n.tri, -1) AS tri, coalesce(round(n.t, 6), -1.0) AS t FROM r LEFT JOIN n USING (ray)"""
+
+
+@query("ray_cast", _ray_sql())
 def _(spark, d):
     v = F.col("embedding")
     at = lambda i: F.array(*(v[i + j].cast("double") for j in range(3)))
     e = table(spark, d, "embeddings")
     rays = e.select(F.col("vec_id").alias("ray"), at(0).alias("o"), at(3).alias("d"))
     triangles = e.select(F.col("vec_id").alias("tri"), at(6).alias("a"), at(9).alias("b"), at(12).alias("c"))
-    return spatial.ray_cast(rays, triangles)
+    return spatial.ray_cast(rays, triangles).select("ray", F.coalesce("tri", F.lit(-1)).alias("tri"), F.coalesce(F.round("t", 6), F.lit(-1.0)).alias("t"))
 
 
 @query("upper_hull", _PTS.rstrip() + """, q AS (SELECT x, max(y) AS y FROM p GROUP BY 1), h AS (SELECT * FROM q c WHERE NOT EXISTS (SELECT 1 FROM q a, q b WHERE a.x < c.x AND b.x > c.x AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) <= 0))
@@ -69,11 +85,13 @@ def _(spark, d):
     return spatial.delaunay(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), v[0].alias("x"), v[1].alias("y")))
 
 
-@query("linear_program")
+@query("linear_program", """WITH r AS (SELECT vec_id AS i, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, abs(embedding[3])::DOUBLE + 1.0 AS c FROM embeddings),
+ v AS (SELECT (p.c * q.b - q.c * p.b) / (p.a * q.b - q.a * p.b) AS x, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) AS y FROM r p JOIN r q ON p.i < q.i WHERE abs(p.a * q.b - q.a * p.b) > 1e-12),
+ ok AS (SELECT x, y FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE a * x + b * y > c + 1e-9)) SELECT round(x, 6) AS x, round(y, 6) AS y FROM ok ORDER BY x + 0.5 * y DESC LIMIT 1""")
 def _(spark, d):
     v = F.col("embedding")
     rows = table(spark, d, "embeddings").select(v[0].cast("double").alias("a"), v[1].cast("double").alias("b"), (F.abs(v[2]) + 1.0).cast("double").alias("c"))
-    return spark.createDataFrame([spatial.linear_program(rows, 1.0, 0.5)], "x double, y double")
+    return spark.createDataFrame([tuple(round(v, 6) for v in spatial.linear_program(rows, 1.0, 0.5))], "x double, y double")
 
 
 def _force_sql(c: str) -> str:

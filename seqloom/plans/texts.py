@@ -84,18 +84,23 @@ def _(spark, d):
     return text.suffix_array(_codes(spark, d))
 
 
-@query("longest_common_prefixes")
+_LCP = SEQ.rstrip() + """, x AS MATERIALIZED (SELECT string_agg(kind[1], '' ORDER BY pos) AS t FROM s), f AS (SELECT row_number() OVER (ORDER BY substr(t, CAST(pos AS BIGINT) + 1)) - 1 AS rank, pos FROM s, x),
+ g AS (SELECT rank, pos, lag(pos) OVER (ORDER BY rank) AS prev FROM f), l AS MATERIALIZED (SELECT rank, pos, prev, CAST((SELECT coalesce(max(k), 0) FROM generate_series(1, 200) y(k) WHERE substr(t, CAST(pos AS BIGINT) + 1, k) = substr(t, CAST(prev AS BIGINT) + 1, k) AND k <= length(t) - greatest(pos, prev)) AS BIGINT) AS lcp FROM g, x WHERE prev IS NOT NULL) """
+
+
+@query("longest_common_prefixes", _LCP + "SELECT rank, pos, prev, lcp FROM l")
 def _(spark, d):
     s = _codes(spark, d)
     return text.lcp(s, text.suffix_array(s))
 
 
-@query("longest_repeated_run")
+@query("longest_repeated_run", _LCP + "SELECT lcp AS length, least(pos, prev) AS first, greatest(pos, prev) AS second FROM l ORDER BY lcp DESC, rank LIMIT 1")
 def _(spark, d):
     return text.longest_repeat(_codes(spark, d))
 
 
-@query("suffix_tree_nodes")
+@query("suffix_tree_nodes", _LCP.rstrip() + """, n AS (SELECT a.rank, a.lcp, (SELECT max(b.rank) FROM l b WHERE b.rank < a.rank AND b.lcp <= a.lcp) AS lo, (SELECT min(b.rank) FROM l b WHERE b.rank > a.rank AND b.lcp < a.lcp) AS hi FROM l a)
+ SELECT n.rank AS node, CASE WHEN lo IS NULL THEN coalesce(hi, n.rank) WHEN hi IS NULL THEN lo WHEN y.lcp >= x.lcp THEN hi ELSE lo END AS parent, n.lcp AS depth FROM n LEFT JOIN l x ON x.rank = lo LEFT JOIN l y ON y.rank = hi""")
 def _(spark, d):
     return text.suffix_tree(_codes(spark, d))
 
@@ -126,10 +131,15 @@ def _(spark, d):
     return o.select("o_orderkey", numeric.big_add(wide, F.col("o_custkey").cast("string")).alias("total"), product.alias("product"))
 
 
-@query("fft")
+def _fft_part(f: str) -> str:
+    return f"round(sum(v * {f}(2 * pi() * ((j * k) % n) / n)), 6) + 0.0"
+
+
+@query("fft", "WITH e AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings), "
+       f"k AS (SELECT e.*, k FROM e, generate_series(0, 63) g(k) WHERE k < n) SELECT vec_id, CAST(k AS BIGINT) AS pos, {_fft_part('cos')} AS re, -({_fft_part('sin')}) + 0.0 AS im FROM k GROUP BY vec_id, k")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "val"))
-    return numeric.fft(e, "vec_id")
+    return numeric.fft(e, "vec_id").select("vec_id", "pos", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("re", "im")))
 
 
 @query("primes", "SELECT CAST(p AS BIGINT) AS p FROM generate_series(2, 20000) g(p) WHERE NOT EXISTS (SELECT 1 FROM generate_series(2, 141) q(k) WHERE k < p AND p % k = 0)")
@@ -157,6 +167,22 @@ def _(spark, d):
     return spark.createDataFrame([(numeric.cycle_count(perm),)], "cycles long")
 
 
+def _cycles_sql(rounds: int = 24) -> str:
+    """Doubling as in the operator; up to 2 ** rounds elements."""
+    parts = ["WITH n AS (SELECT count(*) AS n FROM events), p0 AS MATERIALIZED (SELECT i AS pos, (i * 7919 + 13) % n AS nxt, least(i, (i * 7919 + 13) % n) AS m FROM n, generate_series(0, n - 1) g(i))"]
+    for k in range(1, rounds + 1):
+        parts.append(f", p{k} AS MATERIALIZED (SELECT a.pos, b.nxt, least(a.m, b.m) AS m FROM p{k - 1} a JOIN p{k - 1} b ON b.pos = a.nxt)")
+    return "".join(parts) + f" SELECT count(DISTINCT m) AS cycles FROM p{rounds}"
+
+
+@query("cycle_count_affine", _cycles_sql())
+def _(spark, d):
+    """Of i -> (7919 i + 13) mod n, a permutation where 7919 does not divide n."""
+    n = table(spark, d, "events").count()
+    perm = spark.range(n).select(F.col("id").alias("pos"), ((F.col("id") * 7919 + 13) % n).alias("val"))
+    return spark.createDataFrame([(numeric.cycle_count(perm),)], "cycles long")
+
+
 @query("log2_up", "SELECT p_partkey, CAST(ceil(log2(p_size)) AS INTEGER) AS bits FROM part WHERE p_size > 0")
 def _(spark, d):
     return table(spark, d, "part").where("p_size > 0").select("p_partkey", numeric.log2_up(F.col("p_size").cast("long")).alias("bits"))

@@ -66,6 +66,11 @@ def read_triples(spark: SparkSession, path: str, weighted: bool = True) -> tuple
     return spark.range(n), one.unionByName(back)
 
 
+def with_unit_weights(edges: DataFrame) -> DataFrame:
+    """Edges with w = 1 each."""
+    return edges.withColumn("w", F.lit(1.0))
+
+
 def write_csr(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     """A binary graph as rows (part, data): u32 n, u64 cumulative degrees, u32 links, and
     with weights a second row of f32 weights, in the order of the links.
@@ -127,6 +132,26 @@ def read_adjacency(spark: SparkSession, path: str, header: bool = True) -> DataF
     return spans.where("hi > lo").select("src", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("at")).join(targets, "at").select("src", "dst")
 
 
+def write_adjacency(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """One file of a header word, n, m, the vertices' offsets and the targets, a number a line."""
+    from ..operators.scans import scan
+
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    sizes = vertices.join(degree, "id", "left").select(F.col("id").alias("pos"), F.coalesce("k", F.lit(0)).alias("val"))
+    zero = F.lit(0).cast("long")
+    head = vertices.sparkSession.createDataFrame([(0, 0, 0, "AdjacencyGraph"), (0, 1, 0, str(vertices.count())), (0, 2, 0, str(edges.count()))], "part int, a long, b long, value string")
+    starts = scan(sizes).select(F.lit(1).alias("part"), F.col("pos").alias("a"), zero.alias("b"), F.col("val").cast("string").alias("value"))
+    targets = edges.select(F.lit(2).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dst").cast("string").alias("value"))
+    head.unionByName(starts).unionByName(targets).orderBy("part", "a", "b").coalesce(1).select("value").write.text(path)
+
+
+def graph_lines(edges: DataFrame, reverse: bool = False) -> DataFrame:
+    """(value): ``src: dst dst ...`` for each vertex with edges, or with ``reverse`` those that lead to it."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(b)), lambda x: F.concat(F.lit(" "), x.cast("string"))), "")
+    return edges.groupBy(a).agg(listed.alias("list")).orderBy(a).select(F.concat(F.col(a).cast("string"), F.lit(":"), "list").alias("value"))
+
+
 def to_delta(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, degree, deltas): sorted neighbours as differences, the first from the vertex itself."""
     lists = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("d"))
@@ -176,6 +201,11 @@ def read_partition(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema="id long, comm long")
 
 
+def singletons(vertices: DataFrame) -> DataFrame:
+    """(id, comm): every vertex in a community of its own."""
+    return vertices.select("id", F.col("id").alias("comm"))
+
+
 def partition_lines(comm: DataFrame) -> DataFrame:
     return comm.orderBy("id").select(F.concat_ws(" ", "id", "comm").alias("value"))
 
@@ -226,6 +256,16 @@ def read_chars(spark: SparkSession, path: str, start: int = 0, end: int = 0) ->
     return whole.select("path", F.decode(part, "UTF-8").alias("value"))
 
 
+def write_chars(rows: DataFrame, key: str, value: str, path: str) -> None:
+    """The characters of ``value`` and a line feed, in a folder for each ``key`` (of one row each)."""
+    rows.select(key, value).write.partitionBy(key).text(path)
+
+
+def read_char_folders(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """(key, value) of what `write_chars` wrote."""
+    return spark.read.text(path, wholetext=True).select(key, F.substring("value", F.lit(1), F.length("value") - 1).alias(value))
+
+
 def read_commented_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tab-separated rows with a header; lines that begin with # are comments."""
     return spark.read.csv(path, sep="\t", comment="#", header=True, schema=schema)

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset, as in tests, under a new folder."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset, under a new temporary
+    folder in local mode, and an error on a cluster."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         conf = jsc.getCheckpointDir().get()
     return f"{conf.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -519,3 +519,19 @@ def test_rays_meet_the_first_of_all_triangles(spark):
     tris = spark.createDataFrame(tris, "tri long, a array<double>, b array<double>, c array<double>")
     assert {r["ray"]: r["tri"] for r in spatial.ray_cast(rays, tris).collect()} == true and len(set(true.values())) > 30
     assert all(r["tri"] is None for r in spatial.ray_cast(rays, tris.limit(0)).collect())
+
+
+def test_for_each_runs_on_every_row(spark):
+    from seqloom.operators import ordered
+
+    total = spark.sparkContext.accumulator(0)
+    ordered.for_each(spark.range(1000), lambda rows: [total.add(r["id"]) for r in rows] and None)
+    assert total.value == 999 * 500
+
+
+def test_long_chains_settle(spark):
+    """A fixpoint does not stop before its state is done."""
+    from seqloom.operators import structure
+
+    vertices, edges = spark.range(30), spark.range(29).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r["id"]: r["chosen"] for r in structure.independent_set(vertices, edges).collect()} == {i: i % 2 == 0 for i in range(30)}
