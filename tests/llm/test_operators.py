@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import ann, bpe, language_id, lm, minhash, mixing, quality, secrets, token_counts, url_filter
+from seqloom.llm.common import mix, mix_int, word_hashes
 from seqloom.llm.queries import RULES, queries, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -699,32 +700,88 @@ def test_predictive_probabilities_add_up():
     assert np.corrcoef(p[0], pairs[0])[0, 1] > 0.9 and np.allclose(lm.context_model(np.zeros((5, 5), dtype=int)), 0.2)
 
 
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(7)
-    n = rng.integers(1, 200, 500)
-    seats = lm.Seating(n, 0.7)
-    for _ in range(50):
-        seats.step(np.full(500, 2.0), rng)
-        assert (np.bincount(seats.dish, weights=seats.sizes, minlength=500) == n).all() and (seats.sizes > 0).all() and (np.diff(seats.dish) >= 0).all()
-
-
-def test_gibbs_finds_the_mean_number_of_tables():
-    """For one dish the chain's stationary law is that of the restaurant with the weight of a new table held."""
-    rng, d, fresh, n = np.random.default_rng(9), 0.5, 1.5, 6
-    law = {(1,): 1.0}
-    for _ in range(n - 1):  # all orders of arrival: weights of seatings, multiplied
+def seatings(n, d, fresh):
+    """The law of n customers' tables: all ways to sit, weighed by table sizes less d, and ``fresh`` for each table."""
+    law = {(1,): fresh}
+    for _ in range(n - 1):
         new = Counter()
         for s, w in law.items():
             for k in range(len(s)):
                 new[tuple(sorted((*s[:k], s[k] + 1, *s[k + 1 :])))] += w * (s[k] - d)
             new[tuple(sorted((*s, 1)))] += w * fresh
         law = new
-    true = sum(len(s) * w for s, w in law.items()) / sum(law.values())
-    seats, seen = lm.Seating(np.full(4000, n), d), []
-    for i in range(80):
-        seats.step(np.full(4000, fresh), rng)
-        seen += [seats.tables().mean()] if i > 40 else []
-    assert abs(np.mean(seen) - true) < 0.05
+    tables = Counter()
+    for s, w in law.items():
+        tables[len(s)] += w / sum(law.values())
+    return [tables[t] for t in range(1, n + 1)]
+
+
+def test_tables_have_the_law_of_all_seatings():
+    for d, fresh in ((0.5, 1.5), (0.2, 0.1), (0.9, 30.0)):
+        laws = lm.Tables(d, 16)
+        for n in (1, 2, 5, 8):
+            assert np.allclose(laws.law(n, np.array([fresh]))[0], np.cumsum(seatings(n, d, fresh)))
+    rng = np.random.default_rng(9)
+    n = rng.integers(0, 9, 4000)
+    t = lm.Tables(0.5, 16).draw(n, np.full(4000, 1.5), rng.random(4000))
+    assert ((t == 0) == (n == 0)).all() and (t <= n).all() and abs(t[n == 8].mean() - np.dot(seatings(8, 0.5, 1.5), range(1, 9))) < 0.2
+
+
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.8])
+def test_tables_of_many_customers(d):
+    """Beyond the exact laws the drawn numbers have nearly the exact mean and deviation."""
+    exact, used, rng = lm.Tables(d, 2000), lm.Tables(d), np.random.default_rng(1)
+    for f in (0.3, 3.0, 40.0, 500.0):
+        for n in (600, 2000):
+            p = np.diff(np.concatenate(([0], exact.law(n, np.array([f]))[0])))
+            mean = np.dot(p, np.arange(1, n + 1))
+            sd = math.sqrt(np.dot(p, np.arange(1, n + 1) ** 2.0) - mean**2)
+            drawn = used.draw(np.full(4000, n), np.full(4000, f), rng.random(4000))
+            assert abs(drawn.mean() - mean) < 0.02 * mean + 0.6 and abs(drawn.std() - sd) < 0.1 * sd + 0.05
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    """The whole model, with few contexts, word by word; the same under any partitioning."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"v{i}" for i in range(60)]
+    p = np.arange(1, 61) ** -1.1
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 40), p=p / p.sum())) + (" Never%d seen" % i if i % 9 == 0 else "")) for i in range(120)] + [(3, "v1 V1 v2"), (None, "v1 v9"), (200, None)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    words = lambda t: WORD.findall(lower(t or ""))
+    train = [words(t) for i, t in rows if not held(i)]
+    counts = Counter(w for t in train for w in t)
+    code = {w: int(word_hashes([w.encode()])[0][0]) for _, t in rows for w in words(t)}
+    signed = lambda w: code[w] - (1 << 64) * (code[w] >> 63)
+    top = sorted(counts, key=lambda w: (-counts[w], signed(w)))[:4]
+    symbol = lambda w: top.index(w) if w in top else 4
+    pairs = np.zeros((6, 6), dtype=int)
+    for t in train:
+        for a, b in zip([5, *map(symbol, t)], [*map(symbol, t), 5], strict=True):
+            pairs[a, b] += 1
+    first = lm.context_model(pairs)
+    once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    d = min(max(once / (once + 2 * twice), 0.1), 0.95)
+    rare = [w for w in counts if w not in top]
+    share, sizes = 0.5 / len(rare), Counter(min(counts[w], lm.EXACT) for w in rare)
+    f = lm.rare_weight(np.array(list(sizes)), np.array(list(sizes.values()), dtype=float), d, share)
+    laws = lm.Tables(d)
+    tables = {}
+    for w in rare:
+        draws = [int(mix(np.array([code[w] ^ mix_int(s + 1)], dtype=np.uint64))[0]) / 2**64 for s in range(lm.SAMPLES)]
+        tables[w] = np.mean([1 + int(np.sum(laws.law(counts[w], np.array([f]))[0] < u)) for u in draws])
+    scale, fresh = 1 + sum(counts[w] for w in rare), 1 + d * sum(tables.values())
+    second = {w: (counts[w] - d * tables[w] + fresh * share) / scale for w in rare}
+    unseen = fresh * 0.5 / scale
+    assert math.isclose(sum(second.values()) + unseen, 1) and np.allclose(first.sum(axis=1), 1)
+    true = []
+    for i, t in rows:
+        path = [5, *map(symbol, words(t)), 5]
+        s = sum(math.log10(first[a, b]) for a, b in zip(path, path[1:], strict=False)) + sum(math.log10(second.get(w, unseen)) for w in words(t) if w not in top)
+        true.append((i or -1, round(s, 6)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7):
+        got = [(r["doc_id"] or -1, round(r["score"], 6)) for r in lm.score(df.repartition(parts), contexts=4).collect()]
+        assert sorted(got) == sorted((i, s) for i, s in true)
 
 
 def test_sketches_let_links_pass(spark):
