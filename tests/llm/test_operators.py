@@ -3,8 +3,11 @@
 import hashlib
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -53,6 +56,11 @@ def test_registered():
     assert sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries()) == 10
 
 
+def test_sql_needs_no_session():
+    code = "import __spark_entry__ as e; assert 'op10_quality_rules' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(quality.__file__).parents[2], check=True, timeout=60)
+
+
 def test_token_counts(odd, documents):
     from tokenizers import Tokenizer
 
