@@ -703,9 +703,15 @@ def test_predictive_probabilities_add_up():
     rng = np.random.default_rng(6)
     pairs = rng.integers(0, 40, (30, 30)) * (rng.random((30, 30)) < 0.4)
     pairs[7] = 0
-    p = lm.context_model(pairs)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    assert np.corrcoef(p[0], pairs[0])[0, 1] > 0.9 and np.allclose(lm.context_model(np.zeros((5, 5), dtype=int)), 0.2)
+    parent = lm.parent_of((pairs > 0).sum(axis=0), 0)
+    assert math.isclose(parent.sum(), 1) and (parent > 0).all() and np.allclose(lm.parent_of(np.zeros(5, dtype=int), 0), 0.2)
+    u, f = np.nonzero(pairs + 1)  # pairs that have no customers too
+    c, seats = pairs[u, f], lm.Tables(0.4)
+    for t, below in lm.seat(seats, u, f, c, mix(np.arange(900, dtype=np.uint64)), np.full(30, -1.0), parent, 1, 6):
+        assert ((t > 0) == (c > 0)).all() and (t <= c).all() and (below == np.bincount(u, weights=t)).all()
+        p = (c - 0.4 * t + (1 + 0.4 * below[u]) * parent[f]) / (1 + pairs.sum(axis=1)[u])
+        assert np.allclose(np.bincount(u, weights=p), 1) and (p > 0).all()
+    assert np.corrcoef(p[:30], pairs[0])[0, 1] > 0.9
 
 
 def seatings(n, d, fresh):
@@ -749,7 +755,7 @@ def test_tables_of_many_customers(d):
 
 
 def test_scores_are_those_of_plain_loops(spark):
-    """The whole model, with few contexts, word by word; the same under any partitioning."""
+    """The whole model, with few symbols and small buckets, word by word; the same under any partitioning."""
     rng = np.random.default_rng(3)
     vocabulary = [f"v{i}" for i in range(60)]
     p = np.arange(1, 61) ** -1.1
@@ -760,13 +766,31 @@ def test_scores_are_those_of_plain_loops(spark):
     counts = Counter(w for t in train for w in t)
     code = {w: int(word_hashes([w.encode()])[0][0]) for _, t in rows for w in words(t)}
     signed = lambda w: code[w] - (1 << 64) * (code[w] >> 63)
-    top = sorted(counts, key=lambda w: (-counts[w], signed(w)))[:4]
-    symbol = lambda w: top.index(w) if w in top else 4
-    pairs = np.zeros((6, 6), dtype=int)
-    for t in train:
-        for a, b in zip([5, *map(symbol, t)], [*map(symbol, t), 5], strict=True):
-            pairs[a, b] += 1
-    first = lm.context_model(pairs)
+    top = sorted(counts, key=lambda w: (-counts[w], signed(w)))[:25]
+    code[None], hot, place = 0, {None, *top[:3]}, {w: k for k, w in enumerate(sorted(top, key=code.get))}
+    symbol = lambda w: 26 if w is None else place.get(w, 25)
+    pairs = Counter((a, symbol(b)) for t in train for a, b in zip([None, *t], [*t, None], strict=True))
+    uniform = lambda a, s, i: int(mix(np.array([mix_int(code[a] ^ mix_int(s + 1)) ^ mix_int(i)], dtype=np.uint64))[0]) / 2**64
+    ones, twos = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    dp = min(max(ones / (ones + 2 * twos), 0.1), 0.95)
+    law = lm.Tables(dp)
+    arrived = {a: sum(c for (x, _), c in pairs.items() if x == a) for a in {a for a, _ in pairs}}
+    below = {a: sum(x == a for x, _ in pairs) for a in arrived}
+    parent = lm.parent_of(np.array([sum(s == x for _, x in pairs) for s in range(27)]), 0)
+
+    def sweeps(parent, given, turn, n):
+        now = dict(given)
+        for i in range(1, n + 1):
+            t = {(a, s): 1 + int(np.sum(law.law(c, np.array([(1 + dp * now[a]) * parent[s]]))[0] < uniform(a, s, 64 * turn + i))) if c > 1 else 1 for (a, s), c in pairs.items()}
+            total = {a: sum(x for (b, _), x in t.items() if b == a) for a in given}
+            now = {a: given[a] if a in hot else total[a] for a in given}
+            yield t, total
+
+    *_, (t, _) = sweeps(parent, below, 1, lm.BURN_IN)
+    parent = lm.parent_of(np.array([sum(x for (_, b), x in t.items() if b == s) for s in range(27)]), 1)
+    given = {a: sum(x for (b, _), x in t.items() if b == a) if a in hot else below[a] for a in below}
+    last = list(sweeps(parent, given, 2, lm.BURN_IN + lm.SAMPLES))[lm.BURN_IN :]
+    first = lambda a, s: np.mean([(pairs[a, s] - dp * t.get((a, s), 0) + (1 + dp * now.get(a, 0)) * parent[s]) / (1 + arrived.get(a, 0)) for t, now in last])
     once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
     d = min(max(once / (once + 2 * twice), 0.1), 0.95)
     rare = [w for w in counts if w not in top]
@@ -780,15 +804,15 @@ def test_scores_are_those_of_plain_loops(spark):
     scale, fresh = 1 + sum(counts[w] for w in rare), 1 + d * sum(tables.values())
     second = {w: (counts[w] - d * tables[w] + fresh * share) / scale for w in rare}
     unseen = fresh * 0.5 / scale
-    assert math.isclose(sum(second.values()) + unseen, 1) and np.allclose(first.sum(axis=1), 1)
+    assert math.isclose(sum(second.values()) + unseen, 1) and all(math.isclose(sum(first(a, s) for s in range(27)), 1) for a in (None, "v0", "v40", "none"))
     true = []
     for i, t in rows:
-        path = [5, *map(symbol, words(t)), 5]
-        s = sum(math.log10(first[a, b]) for a, b in zip(path, path[1:], strict=False)) + sum(math.log10(second.get(w, unseen)) for w in words(t) if w not in top)
+        path = [None, *words(t), None]
+        s = sum(math.log10(first(a, symbol(b))) for a, b in zip(path, path[1:], strict=False)) + sum(math.log10(second.get(w, unseen)) for w in words(t) if w not in top)
         true.append((i or -1, round(s, 6)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for parts in (1, 7):
-        got = [(r["doc_id"] or -1, round(r["score"], 6)) for r in lm.score(df.repartition(parts), contexts=4).collect()]
+        got = [(r["doc_id"] or -1, round(r["score"], 6)) for r in lm.score(df.repartition(parts), contexts=3, table=25, bucket=400).collect()]
         assert sorted(got) == sorted((i, s) for i, s in true)
 
 
