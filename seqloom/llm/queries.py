@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language_id, lm, minhash, mixing, quality, secrets, token_counts, url_filter
+from . import ann, bpe, language_id, lm, minhash, mixing, point_in_time, quality, resampling, secrets, sharding, token_counts, url_filter
 
 #: The rules that op2 judges by.
 RULES = [
@@ -82,12 +82,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("host_rate")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards under the law of rows; equal texts, null ids and all else as in ``sharding.shard``."""
+    return sharding.shard(table(spark, sf_dir, "documents"), k=16, law="rows")
+
+
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that each label sees at its moment; nulls, ties and empty tables as in ``point_in_time.features_at``."""
+    return point_in_time.features_at(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's words; nulls and ties as in ``resampling.resample``."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_id, op2_url_filters, op3_token_counts, op4_secret_scan, op5_near_duplicates, op6_mixing, op7_bpe, op8_nearest, op9_lm_scores, op10_quality_rules]
+    own = [op1_language_id, op2_url_filters, op3_token_counts, op4_secret_scan, op5_near_duplicates, op6_mixing, op7_bpe, op8_nearest, op9_lm_scores, op10_quality_rules, op11_sharding, op12_point_in_time, op13_resampling]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of those that SQL can express; models, spans, tokenizers and sampling are beyond it,
     and tests/llm holds these against brute force instead."""
-    return {"op10_quality_rules": quality.sql()}
+    return {"op10_quality_rules": quality.sql(), "op12_point_in_time": point_in_time.sql(), "op13_resampling": resampling.sql()}

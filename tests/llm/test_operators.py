@@ -53,7 +53,7 @@ def by_id(rows):
 
 
 def test_registered():
-    assert sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries()) == 10
+    assert sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries()) == 13
 
 
 def test_sql_needs_no_session():
