@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import analysis, collections, formats, graphs, points, texts  # noqa: F401
+from . import analysis, collections, folds, formats, graphs, points, rounds, texts  # noqa: F401
