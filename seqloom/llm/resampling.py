@@ -204,7 +204,8 @@ def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_0
     rows) are all that the driver sees.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = gains(totals(own, "text", n, buckets), totals(target, text, n, buckets), buckets).orderBy("bucket").collect()  # a row for each bucket
+    source, goal = cut(totals(own, "text", n, buckets), "source"), cut(totals(target, text, n, buckets), "target")  # a row for each bucket
+    found = gains(source, goal, buckets).orderBy("bucket").collect()
     scored = weigh(own, ["doc_id"], [r["gain"] for r in found], "text", n)
     scored = cut(scored.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scored")
     fit = scored.where(F.col("n_words") >= least_words)
