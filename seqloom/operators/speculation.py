@@ -61,8 +61,9 @@ def reserve(claims: DataFrame) -> Speculated:
     state = {"claims": cut(claims.select("item", "priority", "resource", "needs", "takes"), "claims")}
 
     def commit(winners: DataFrame, now: DataFrame) -> None:
-        taken = now.where("takes").join(winners.select("item"), "item", "left_semi").select("resource").distinct()
-        lost = now.where("needs").join(taken, "resource", "left_semi").select("item")
+        mine = F.struct("priority", "item")
+        taken = now.where("takes").join(winners.select("item"), "item", "left_semi").groupBy("resource").agg(F.min(mine).alias("by"))
+        lost = now.where("needs").join(taken, "resource").where(F.col("by") < mine).select("item")  # who is tried before it still finds it free
         state["claims"] = cut(now.join(lost.unionByName(winners.select("item")).distinct(), "item", "left_anti"), "claims")
 
     return speculate(lambda: state["claims"], commit)

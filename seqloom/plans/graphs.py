@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import community, graphs, ranking, structure, traversal
 from ..sources import generators
+from .rounds import COLOURS, COMPONENTS, CORES, COVER, DISTANCES, INDEPENDENT, LEVELS, MATCHING, forest_sql
 from .tables import EDGES, LINKS, both_ways, link_graph, part_graph, table, whole_graph
 
 
@@ -80,7 +81,7 @@ def _(spark, d):
     return found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_BFS = EDGES.rstrip() + ", r(id, dist) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT h.dst, r.dist + 1 FROM r JOIN h ON h.src = r.id WHERE r.dist < 12), b AS (SELECT id, min(dist) AS dist FROM r GROUP BY 1) "
+_BFS = LEVELS
 
 
 def _one(spark):
@@ -103,10 +104,7 @@ def _(spark, d):
     return traversal.by_distance(traversal.shortest_paths(unit, _one(spark)))
 
 
-_SSSP = EDGES.rstrip() + ", r(id, dist) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT dst, r.dist + (least(src, dst) * 7 + greatest(src, dst) * 13) % 50 + 1 FROM r JOIN h ON src = r.id WHERE r.dist + (least(src, dst) * 7 + greatest(src, dst) * 13) % 50 + 1 <= 150) "
-
-
-@query("sssp_weighted", _SSSP + "SELECT id, min(dist) AS dist FROM r GROUP BY 1")
+@query("sssp_weighted", DISTANCES)
 def _(spark, d):
     vertices, edges = part_graph(spark, d)
     weighted = both_ways(edges).withColumn("w", F.pmod(F.least("src", "dst") * 7 + F.greatest("src", "dst") * 13, F.lit(50)) + 1)
@@ -193,49 +191,49 @@ def _(spark, d):
     return structure.components(vertices, edges.select("src", "dst"))
 
 
-@query("part_components")
+@query("part_components", COMPONENTS)
 def _(spark, d):
     vertices, edges = part_graph(spark, d)  # all edges; the recursive SQL is only quick on the links
     return structure.components(vertices, edges)
 
 
-@query("spanning_forest")
+@query("spanning_forest", forest_sql(EDGES.rstrip() + ", k AS (SELECT src * 1000000000 + dst AS eid, src, dst, 0 AS w FROM e)", "eid, src, dst"))
 def _(spark, d):
     vertices, edges = part_graph(spark, d)
     numbered = edges.withColumn("eid", F.col("src") * 1_000_000_000 + F.col("dst"))
     return structure.spanning_forest(vertices, numbered)
 
 
-@query("minimum_spanning_forest")
+@query("minimum_spanning_forest", forest_sql(EDGES.rstrip() + ", k AS (SELECT src * 1000000000 + dst AS eid, src, dst, (src * 7 + dst * 13) % 50 AS w FROM e)", "eid, src, dst, w"))
 def _(spark, d):
     vertices, edges = part_graph(spark, d)
     weighted = edges.withColumn("eid", F.col("src") * 1_000_000_000 + F.col("dst")).withColumn("w", F.pmod(F.col("src") * 7 + F.col("dst") * 13, F.lit(50)))
     return structure.minimum_forest(vertices, weighted)
 
 
-@query("core_numbers")
+@query("core_numbers", CORES)
 def _(spark, d):
     return structure.core_numbers(*part_graph(spark, d))
 
 
-@query("independent_set")
+@query("independent_set", INDEPENDENT + "SELECT id, chosen FROM s")
 def _(spark, d):
     vertices, edges = whole_graph(spark, d)
     return structure.independent_set(vertices, edges)
 
 
-@query("matching")
+@query("matching", MATCHING + "SELECT eid, src, dst FROM m WHERE eid >= 0")
 def _(spark, d):
     return structure.matching(whole_graph(spark, d)[1])
 
 
-@query("colouring")
+@query("colouring", COLOURS)
 def _(spark, d):
     vertices, edges = whole_graph(spark, d)
     return structure.colouring(vertices, edges)
 
 
-@query("set_cover")
+@query("set_cover", COVER)
 def _(spark, d):
     return structure.set_cover(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("element")))
 
