@@ -19,15 +19,13 @@ BLOCK = 65_536
 def positions(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``pos``, its rows numbered by ``order`` (which must be total).
 
-    Rows are range-partitioned and numbered within partitions; offsets are the sums of
-    the partitions' sizes before.
+    One exchange: rows are range-partitioned and sorted, and written with their places
+    in their partitions; offsets are the sums of the partitions' sizes before.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = cut(ranged, "ranged")
-    own = Window.partitionBy("_part").orderBy(*order)
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = ranged.groupBy("_part").count().withColumn("_from", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.withColumn("_n", F.row_number().over(own))
-    return numbered.join(sizes.select("_part", "_from"), "_part").withColumn("pos", F.col("_from") + F.col("_n") - 1).drop("_part", "_n", "_from")
+    return ranged.join(sizes.select("_part", "_from"), "_part").withColumn("pos", F.col("_from") + F.col("_at")).drop("_part", "_at", "_from")
 
 
 def tabulate(spark: SparkSession, n: int, f: Column) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import learning, spatial
+from ..operators import learning, spatial, zindex
 from .tables import table
 
 
@@ -19,11 +19,19 @@ _PTS = "WITH p AS (SELECT vec_id AS id, floor(embedding[1] * 1000::DOUBLE) AS x,
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
 
-@query("nearest_neighbours", _PTS + f"SELECT id, CAST(rank AS INTEGER) AS rank, other, d2 FROM (SELECT a.id, b.id AS other, {_D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS rank FROM p a JOIN p b ON a.id <> b.id) WHERE rank <= 10")
+_NEAREST = _PTS + f"SELECT id, CAST(rank AS INTEGER) AS rank, other, d2 FROM (SELECT a.id, b.id AS other, {_D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS rank FROM p a JOIN p b ON a.id <> b.id) WHERE rank <= 10"
+
+
+@query("nearest_neighbours", _NEAREST)
 def _(spark, d):
     return spatial.nearest_neighbours(_points(spark, d), 10).select("id", "rank", "other", "d2")
 
 
+@query("nearest_neighbours_indexed", _NEAREST)
+def _(spark, d):
+    return zindex.nearest(_points(spark, d), 10).found.select("id", "rank", "other", "d2")
+
+
 @query("radius_pairs", _PTS + f"SELECT a.id, b.id AS other, {_D2} AS d2 FROM p a JOIN p b ON a.id <> b.id AND {_D2} < 2500")
 def _(spark, d):
     return spatial.radius_pairs(_points(spark, d), 50.0)
@@ -104,6 +112,17 @@ def _(spark, d):
     return got.select("id", *(F.round(1_000_000 * F.col(c), 5).alias(c) for c in ("fx", "fy", "fz")))
 
 
+@query("approximate_forces", _PTS + "SELECT id, true AS close FROM p")
+def _(spark, d):
+    """For every body, whether the force through the index is within a thousandth of the exact one."""
+    bodies = _points(spark, d).withColumn("mass", F.lit(1.0) + F.col("id") % 3)
+    exact = spatial.total_forces(bodies).select("id", *(F.col(f"f{a}").alias(f"e{a}") for a in "xyz"))
+    both = zindex.approximate_forces(bodies).found.join(exact, "id")
+    off, size = (sum((F.pow(x(a), 2) for a in "xyz"), F.lit(0.0)) for x in (lambda a: F.col(f"f{a}") - F.col(f"e{a}"), lambda a: F.col(f"e{a}")))
+    typical = both.agg(F.avg(F.sqrt(size)).alias("typical"))
+    return both.withColumns({"off": F.sqrt(off), "size": F.sqrt(size)}).crossJoin(F.broadcast(typical)).select("id", (F.col("off") <= 1e-3 * F.greatest("size", "typical")).alias("close"))  # one row
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
