@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import learning, spatial, zindex
+from ..operators import learning, spatial, sparse, zindex
 from .tables import table
 
 
@@ -160,3 +160,11 @@ def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_quantity", F.col("l_discount"), F.col("l_tax"), (F.col("l_extendedprice") / 1000).alias("y"))
     w = learning.lasso(rows, ["l_quantity", "l_discount", "l_tax"], "y", 10.0)
     return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(w)], "feature int, weight double")
+
+
+@query("lasso_path", "SELECT CAST(s AS INTEGER) AS step, col, true AS holds FROM (SELECT DISTINCT l_partkey AS col FROM lineitem), range(4) r(s)")
+def _(spark, d):
+    """Orders' prices from the quantities of their parts: whether every part's condition holds at every penalty."""
+    entries = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").cast("double").alias("val"))
+    targets = table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_totalprice") / 10_000).cast("double").alias("y"))
+    return sparse.conditions(entries, targets, sparse.lasso_path(entries, targets, steps=4, ratio=0.3))
