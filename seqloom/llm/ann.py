@@ -106,18 +106,36 @@ def _asked(x: np.ndarray, scale: float) -> np.ndarray:
     return np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))], axis=1)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (of ids, x) and scores of the ``k`` ids nearest to ``q`` among those that ``may``;
-    of an id the nearest row."""
-    rough = np.where(may, x @ q, -np.inf)
-    room, n = k, int(may.sum())
+def _spans(first: np.ndarray, leaves: list[int]) -> list[tuple[int, int]]:
+    """The ranges of rows of ``leaves``, of which each begins where ``first`` says; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for leaf in sorted(set(leaves)):
+        a, b = int(first[leaf]), int(first[leaf + 1])
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b)
+        elif a < b:
+            out.append((a, b))
+    return out
+
+
+def _best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, spans: list[tuple[int, int]], own, k: int, largest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of ids, x) and scores of the ``k`` ids nearest to ``q`` among the rows in ``spans``
+    whose id is not ``own``; of an id the nearest row. Other rows are not looked at. No
+    component is beyond ``largest``."""
+    if not spans:
+        return np.empty(0, dtype=np.int64), np.empty(0)
+    rows = np.concatenate([np.arange(a, b) for a, b in spans])
+    rough = np.concatenate([x[a:b] @ q for a, b in spans])
+    may = ids[rows] != own
+    rows, rough = rows[may], rough[may]
+    room, n = k, len(rows)
     while True:  # more than k rows are looked at only where ids repeat
         if room < n:
-            edge = np.partition(rough, len(rough) - room)[len(rough) - room]
-            slack = 1e-9 * float(np.abs(x).max() * np.abs(q).sum())  # rough scores are off by less
-            at = np.flatnonzero(may & (rough >= edge - slack))
+            edge = np.partition(rough, n - room)[n - room]
+            slack = 1e-9 * largest * float(np.abs(q).sum())  # rough scores are off by less
+            at = rows[rough >= edge - slack]
         else:
-            at = np.flatnonzero(may)
+            at = rows
         score = (x[at] * q).sum(axis=1)
         order = np.lexsort((ids[at], -score))
         first = np.sort(np.unique(ids[at][order], return_index=True)[1])[:k]
@@ -214,12 +232,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     def rank(candidates: pa.Table, visits: pa.Table) -> pa.Table:
         asked_ids, out = visits.column("id").to_numpy(), ([], [], [])
         if candidates.num_rows and visits.num_rows:
-            ids, x, q = candidates.column("id").to_numpy(), _matrix(candidates.column("vec")), _matrix(visits.column("vec"))
+            # rows in order of leaf: a query's products are those of the leaves it visits, and no others
             leaf = candidates.column("leaf").to_numpy() % wide
+            candidates = candidates.take(pa.array(np.argsort(leaf, kind="stable")))
+            first = np.searchsorted(np.sort(leaf), np.arange(wide + 1))
+            ids, x, q = candidates.column("id").to_numpy(), _matrix(candidates.column("vec")), _matrix(visits.column("vec"))
+            largest = float(np.abs(x).max())
             for i, leaves in enumerate(visits.column("leaves").to_pylist()):
-                open_ = np.zeros(wide, dtype=bool)
-                open_[np.array(leaves) % wide] = True
-                rows, score = _best(ids, x, q[i], open_[leaf] & (ids != asked_ids[i]), k)
+                rows, score = _best(ids, x, q[i], _spans(first, [v % wide for v in leaves]), asked_ids[i], k, largest)
                 out[0].append(np.full(len(rows), i))
                 out[1].append(rows)
                 out[2].append(score)

@@ -659,6 +659,21 @@ def test_work_follows_the_data():
     assert share["clustered"] < share["uniform"] / 2
 
 
+def test_products_are_those_of_visited_leaves():
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(500, 8)), np.arange(500)
+    first = np.array([0, 100, 100, 250, 260, 500])
+    assert ann._spans(first, [3, 0, 1, 3]) == [(0, 100), (250, 260)] and ann._spans(first, [4, 2, 3]) == [(100, 500)] and ann._spans(first, [1]) == []
+    for leaves in ([0, 3], [2], [0, 1, 2, 3, 4], [1]):
+        spans = ann._spans(first, leaves)
+        seen = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.empty(0, dtype=int)
+        blind = np.full_like(x, np.nan)
+        blind[seen] = x[seen]  # a product with any other row would be nan
+        rows, score = ann._best(ids, blind, x[7], spans, 7, 20, float(np.abs(x).max()))
+        want = sorted((-float((x[j] * x[7]).sum()), j) for j in seen if j != 7)[:20]
+        assert rows.tolist() == [j for _, j in want] and np.isfinite(score).all()
+
+
 def test_recall_of_many(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(12_000, 32))
