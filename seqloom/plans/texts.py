@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import numeric, text
+from ..functions import numeric, patterns, text
 from ..operators.ordered import positions
 from ..sources.files import scrape
 from .tables import SEQ, seq, table
@@ -196,3 +196,28 @@ def _(spark, d):
 @query("scrape_numbers", r"SELECT CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS DOUBLE) AS k FROM events WHERE regexp_extract(props, '\"k\": ([0-9]+)', 1) <> ''".replace('\\"', '"'))
 def _(spark, d):
     return scrape(table(spark, d, "events").select(F.col("props").alias("value")), r'"k": ([0-9]+)', "k")
+
+
+_PATTERNS = """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS pattern FROM documents), q AS (SELECT pattern FROM w WHERE length(pattern) BETWEEN 5 AND 12 UNION SELECT substr(text, 11, 60) FROM benchmark WHERE length(text) > 10),
+ i AS (SELECT item_id, text, unnest(generate_series(1, length(text))) AS i FROM benchmark), l AS (SELECT DISTINCT length(pattern) AS k FROM q),
+ f AS (SELECT q.pattern, item_id AS doc, i - 1 AS "at" FROM i JOIN l ON i + k - 1 <= length(text) JOIN q ON q.pattern = substr(text, i, k)) """
+
+
+def _pattern_tables(spark, d):
+    words = table(spark, d, "documents").select(F.explode(patterns.words_of(F.col("text"), 5, 12)).alias("pattern"))
+    items = table(spark, d, "benchmark")
+    long_ = items.where(F.length("text") > 10).select(F.substring("text", 11, 60).alias("pattern"))
+    return patterns.build(items, "item_id", "text"), words.distinct(), long_
+
+
+@query("pattern_lookup", _PATTERNS + "SELECT pattern, doc, \"at\" FROM f")
+def _(spark, d):
+    """Where the texts of benchmark have the words of documents (of 5 to 12 characters), and passages of 60 characters."""
+    index, words, long_ = _pattern_tables(spark, d)
+    return patterns.find(index, words.unionByName(long_))
+
+
+@query("pattern_counts", _PATTERNS + "SELECT pattern, count(*) AS n FROM f WHERE length(pattern) BETWEEN 5 AND 12 GROUP BY 1")
+def _(spark, d):
+    index, words, _ = _pattern_tables(spark, d)
+    return patterns.intervals(index, words).select("pattern", "n")
