@@ -10,26 +10,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import renumber
+from ..storage import cut
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): the lines of a text file, numbered in order.
+def _ordered(spark: SparkSession, path: str, value: Column) -> DataFrame:
+    """(pos, value): what ``value`` makes of each line (its column ``value``), numbered in order of
+    the files' names and, within a file, of the lines.
 
-    A file is one row while it is numbered: order within a file is not kept otherwise.
+    A file is read in splits, by as many tasks. Rows are numbered where they are read, and
+    written; the splits' sizes, a row for each, give the rest of the number. Rows are not shuffled.
     """
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "value")).where("trim(value) <> ''").select(F.col("pos").cast("long").alias("pos"), "value")
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), value.alias("value"))
+    placed = cut(read.withColumn("_m", F.monotonically_increasing_id()), "lines")
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("_file", "_start").agg(F.min("_m").alias("_least"), F.count(F.lit(1)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return placed.join(splits, ["_file", "_start"]).select((F.col("_from") + F.col("_m") - F.col("_least")).alias("pos"), "value")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, value): the lines of text files that are not blank, numbered in order."""
+    return _ordered(spark, path, F.col("value")).where("trim(value) <> ''")
 
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, val): all numbers of a text file, in order."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = whole.select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("pos", "val"))
-    return parts.select(F.col("pos").cast("long").alias("pos"), "val")
+    """(pos, val): all numbers of text files, in order."""
+    return _ordered(spark, path, F.explode(F.filter(F.split("value", r"\s+"), lambda x: x != ""))).withColumnRenamed("value", "val")
 
 
 def read_edge_list(spark: SparkSession, path: str, directed: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -49,11 +58,11 @@ def read_edge_list(spark: SparkSession, path: str, directed: bool = False) -> tu
 
 
 def write_edge_list(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """One file: ``n m`` and a line for each edge, in order."""
+    """``n m`` and a line for each edge, in order: files that follow each other by name."""
     n, m = vertices.count(), edges.count()
     head = vertices.sparkSession.createDataFrame([(-1, -1, f"{n} {m}")], "src long, dst long, value string")
     body = edges.select("src", "dst", F.concat_ws(" ", "src", "dst").alias("value"))
-    head.unionByName(body).orderBy("src", "dst").coalesce(1).select("value").write.text(path)
+    head.unionByName(body).orderBy("src", "dst").select("value").write.text(path)
 
 
 def read_triples(spark: SparkSession, path: str, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -123,17 +132,19 @@ def read_csr_files(spark: SparkSession, links: str, weights: str | None = None)
 def read_adjacency(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Edges of a file of numbers: (a header word,) n, m, n offsets, m targets."""
     numbers = _numbers(spark, path)
-    numbers = (numbers.where("pos > 0").withColumn("pos", F.col("pos") - 1) if header else numbers).withColumn("val", F.col("val").cast("long"))
+    numbers = numbers.withColumn("pos", F.col("pos") - 1) if header else numbers
+    numbers = numbers.where("pos >= 0").withColumn("val", F.when(F.col("pos") >= 0, F.col("val").cast("long")))  # the header word is no number
     head = {r["pos"]: r["val"] for r in numbers.where("pos < 2").collect()}
     n, m = head[0], head[1]
     starts = numbers.where((F.col("pos") >= 2) & (F.col("pos") < 2 + n)).select((F.col("pos") - 2).alias("src"), F.col("val").alias("lo"))
-    spans = starts.withColumn("hi", F.coalesce(F.lead("lo").over(Window.orderBy("src")), F.lit(m)))  # the file is one row already
+    following = starts.select((F.col("src") - 1).alias("src"), F.col("lo").alias("hi"))
+    spans = starts.join(following, "src", "left").withColumn("hi", F.coalesce("hi", F.lit(m)))
     targets = numbers.where(F.col("pos") >= 2 + n).select((F.col("pos") - 2 - n).alias("at"), F.col("val").alias("dst"))
     return spans.where("hi > lo").select("src", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("at")).join(targets, "at").select("src", "dst")
 
 
 def write_adjacency(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """One file of a header word, n, m, the vertices' offsets and the targets, a number a line."""
+    """A header word, n, m, the vertices' offsets and the targets, a number a line, in files that follow each other by name."""
     from ..operators.scans import scan
 
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
@@ -142,7 +153,7 @@ def write_adjacency(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     head = vertices.sparkSession.createDataFrame([(0, 0, 0, "AdjacencyGraph"), (0, 1, 0, str(vertices.count())), (0, 2, 0, str(edges.count()))], "part int, a long, b long, value string")
     starts = scan(sizes).select(F.lit(1).alias("part"), F.col("pos").alias("a"), zero.alias("b"), F.col("val").cast("string").alias("value"))
     targets = edges.select(F.lit(2).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dst").cast("string").alias("value"))
-    head.unionByName(starts).unionByName(targets).orderBy("part", "a", "b").coalesce(1).select("value").write.text(path)
+    head.unionByName(starts).unionByName(targets).orderBy("part", "a", "b").select("value").write.text(path)
 
 
 def graph_lines(edges: DataFrame, reverse: bool = False) -> DataFrame:
@@ -167,13 +178,13 @@ def from_delta(lists: DataFrame, symmetric: bool = False) -> DataFrame:
 
 
 def write_delta(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """One file of n, m, the degrees and the deltas, a number a line."""
+    """n, m, the degrees and the deltas, a number a line, in files that follow each other by name."""
     lists = to_delta(vertices, edges)
     spark = lists.sparkSession
     head = spark.createDataFrame([(0, 0, 0, str(vertices.count())), (0, 1, 0, str(edges.count()))], "part int, a long, b long, value string")
     sizes = lists.select(F.lit(1).alias("part"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("degree").cast("string").alias("value"))
     body = lists.select(F.lit(2).alias("part"), F.col("id").alias("a"), F.posexplode("deltas").alias("b", "v")).select("part", "a", F.col("b").cast("long").alias("b"), F.col("v").cast("string").alias("value"))
-    head.unionByName(sizes).unionByName(body).orderBy("part", "a", "b").coalesce(1).select("value").write.text(path)
+    head.unionByName(sizes).unionByName(body).orderBy("part", "a", "b").select("value").write.text(path)
 
 
 def read_delta(spark: SparkSession, path: str, symmetric: bool = False) -> DataFrame:
@@ -231,7 +242,7 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     outside 0..255 is an error."""
     lines = _lines(spark, path)
     kinds = [x.strip() for x in lines.where("pos = 0").first()["value"].split(",")]
-    parts = lines.where("pos > 0").select(F.transform(F.split("value", ","), lambda x: F.trim(x).cast("int")).alias("p"))
+    parts = lines.where("pos > 0").select(F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("int")).alias("p"))
     if not parts.where(F.exists("p", lambda x: x.isNull() | ~x.between(0, 255)) | (F.size("p") != len(kinds))).isEmpty():
         raise ValueError(f"{path} has values outside 0..255")
     last = len(kinds) - 1

@@ -552,3 +552,26 @@ def test_long_chains_settle(spark):
 
     vertices, edges = spark.range(30), spark.range(29).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r["id"]: r["chosen"] for r in structure.independent_set(vertices, edges).collect()} == {i: i % 2 == 0 for i in range(30)}
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    """Files of many splits each are numbered as one sequence, in order of their names."""
+    texts = {"b.txt": "".join(f"{i}  x{i}\n" for i in range(4000)), "a.txt": "first line\n\n  \nlast\r\n", "c.txt": "no end of line", "d.txt": ""}
+    for name, value in texts.items():
+        (tmp_path / name).write_bytes(value.encode())
+    lines = [x for name in sorted(texts) for x in texts[name].replace("\r\n", "\n").splitlines()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = files._lines(spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == [(i, x) for i, x in enumerate(lines) if x.strip()]
+        numbers = files._numbers(spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, numbers)) == list(enumerate(w for x in lines for w in x.split()))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        edges = spark.createDataFrame([(i, (i * 7) % 500) for i in range(500)], "src long, dst long").where("src <> dst")
+        for write, read in ((files.write_edge_list, lambda p: files.read_edge_list(spark, p, directed=True)[1]), (files.write_adjacency, lambda p: files.read_adjacency(spark, p))):
+            path = str(tmp_path / write.__name__)
+            write(spark.range(500), edges.repartition(6), path)
+            assert sorted(map(tuple, read(path).collect())) == sorted(map(tuple, edges.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
