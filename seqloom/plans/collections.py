@@ -13,14 +13,14 @@ def rare():
     return F.col("val") > 20_000
 
 
-@query("tabulate", "SELECT CAST(i AS BIGINT) AS pos, CAST(i * i % 97 AS BIGINT) AS val FROM generate_series(0, 9999) g(i)")
+@query("tabulate", "SELECT CAST(i AS BIGINT) AS pos, CAST(i * i % 97 AS BIGINT) AS val FROM generate_series(0, (SELECT count(*) - 1 FROM orders)) g(i)")
 def _(spark, d):
-    return ordered.tabulate(spark, 10_000, (F.col("pos") * F.col("pos") % 97).cast("long"))
+    return ordered.tabulate(spark, table(spark, d, "orders").count(), (F.col("pos") * F.col("pos") % 97).cast("long"))
 
 
-@query("iota_map", "SELECT CAST(i AS BIGINT) AS pos, CAST(3 * i + 1 AS BIGINT) AS val FROM generate_series(0, 4999) g(i)")
+@query("iota_map", "SELECT CAST(i AS BIGINT) AS pos, CAST(3 * i + 1 AS BIGINT) AS val FROM generate_series(0, (SELECT count(*) - 1 FROM events)) g(i)")
 def _(spark, d):
-    return ordered.iota(spark, 5_000).select("pos", (3 * F.col("val") + 1).alias("val"))
+    return ordered.iota(spark, table(spark, d, "events").count()).select("pos", (3 * F.col("val") + 1).alias("val"))
 
 
 @query("enumerate_events", SEQ + "SELECT pos, val FROM s")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -296,49 +298,60 @@ def _(spark, d):
     return community.compose(community.multi_level(vertices, half)[0])
 
 
-@query("generate_grid", "SELECT CAST(i AS BIGINT) AS src, CAST((i // 40 + a) * 40 + i % 40 + b AS BIGINT) AS dst FROM generate_series(0, 1599) g(i), generate_series(-1, 1) x(a), generate_series(-1, 1) y(b) WHERE (a <> 0 OR b <> 0) AND i // 40 + a BETWEEN 0 AND 39 AND i % 40 + b BETWEEN 0 AND 39")
+def _parts(spark, d) -> int:
+    return table(spark, d, "part").count()
+
+
+@query("generate_grid", "WITH n AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM part) SELECT i AS src, (i // n + a) * n + i % n + b AS dst FROM n, generate_series(0, (SELECT n * n - 1 FROM n)) g(i), generate_series(-1, 1) x(a), generate_series(-1, 1) y(b) WHERE (a <> 0 OR b <> 0) AND i // n + a BETWEEN 0 AND n - 1 AND i % n + b BETWEEN 0 AND n - 1")
 def _(spark, d):
-    return generators.grid(spark, 40)
+    """About as many vertices as there are parts."""
+    return generators.grid(spark, math.isqrt(_parts(spark, d)))
 
 
-@query("generate_lattice", "SELECT CAST(i AS BIGINT) AS src, CAST(i + k AS BIGINT) AS dst FROM generate_series(0, 999) g(i), generate_series(1, 5) x(k) WHERE i + k < 1000")
+@query("generate_lattice", "WITH n AS (SELECT count(*) AS n FROM part) SELECT i AS src, i + k AS dst FROM n, generate_series(0, (SELECT n - 1 FROM n)) g(i), generate_series(1, 5) x(k) WHERE i + k < n")
 def _(spark, d):
-    return generators.watts_strogatz(spark, 1000, 10, 0.0)
+    return generators.watts_strogatz(spark, _parts(spark, d), 10, 0.0)
 
 
 @query("generate_rmat")
 def _(spark, d):
-    return generators.rmat(spark, 1024, 20_480)
+    """Twenty draws for each part."""
+    n = _parts(spark, d)
+    return generators.rmat(spark, 1 << max(1, (n - 1).bit_length()), 20 * n)
 
 
 @query("generate_block_model")
 def _(spark, d):
-    return generators.block_model(spark, 2000, 20, 0.05, 0.002)
+    n = _parts(spark, d)
+    return generators.block_model(spark, n, 20, min(1.0, 100 / n), min(1.0, 4 / n))
 
 
 @query("generate_uniform")
 def _(spark, d):
-    return generators.uniform_digraph(spark, 1000, 8)
+    return generators.uniform_digraph(spark, _parts(spark, d), 8)
 
 
-@query("generated_sizes", "SELECT CAST(10 + 495 * 3 AS BIGINT) AS preferential, CAST(500 * 5 - 15 AS BIGINT) AS small_world, true AS block_model, true AS uniform, true AS rmat")
+@query("generated_sizes", "SELECT 10 + (n - 5) * 3 AS preferential, n * 5 - 15 AS small_world, n * n > 0 AS block_model, n > 0 AS uniform, n > 0 AS rmat FROM (SELECT count(*) AS n FROM part)")
 def _(spark, d):
-    """Edges: fixed by the parameters for the first two, within six standard deviations of the mean, or the draws, for the others."""
+    """Edges of graphs of as many vertices as there are parts: fixed by the parameters for the first two,
+    within six standard deviations of the mean, or the draws, for the others."""
+    n = _parts(spark, d)
     count = lambda df: df.select("src", "dst").distinct().count()
-    pairs = 2000 * 99 / 2, 2000 * 1900 / 2
-    mean, most = 0.05 * pairs[0] + 0.002 * pairs[1], lambda m: 6 * m**0.5
+    inner = sum(len(range(b, n, 20)) * (len(range(b, n, 20)) - 1) / 2 for b in range(20))
+    p_in, p_out = min(1.0, 100 / n), min(1.0, 4 / n)
+    mean, most = p_in * inner + p_out * (n * (n - 1) / 2 - inner), lambda m: 6 * m**0.5
     got = (
-        count(generators.barabasi_albert(spark, 500, 5, 3)), count(generators.watts_strogatz(spark, 500, 10, 0.1)), abs(count(generators.block_model(spark, 2000, 20, 0.05, 0.002)) - mean) < most(mean),
-        abs(count(generators.uniform_digraph(spark, 1000, 8)) - 8000) < most(8000), 10_000 < count(generators.rmat(spark, 1024, 20_480)) <= 20_480,
+        count(generators.barabasi_albert(spark, n, 5, 3)), count(generators.watts_strogatz(spark, n, 10, 0.1)), abs(count(generators.block_model(spark, n, 20, p_in, p_out)) - mean) < most(mean),
+        abs(count(generators.uniform_digraph(spark, n, 8)) - 8 * n) < most(8 * n), 5 * n < count(generators.rmat(spark, 1 << max(1, (n - 1).bit_length()), 20 * n)) <= 20 * n,
     )
     return spark.createDataFrame([got], "preferential long, small_world long, block_model boolean, uniform boolean, rmat boolean")
 
 
 @query("generate_preferential")
 def _(spark, d):
-    return generators.barabasi_albert(spark, 500, 5, 3)
+    return generators.barabasi_albert(spark, _parts(spark, d), 5, 3)
 
 
 @query("generate_small_world")
 def _(spark, d):
-    return generators.watts_strogatz(spark, 500, 10, 0.1)
+    return generators.watts_strogatz(spark, _parts(spark, d), 10, 0.1)

@@ -142,14 +142,16 @@ def _(spark, d):
     return numeric.fft(e, "vec_id").select("vec_id", "pos", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("re", "im")))
 
 
-@query("primes", "SELECT CAST(p AS BIGINT) AS p FROM generate_series(2, 20000) g(p) WHERE NOT EXISTS (SELECT 1 FROM generate_series(2, 141) q(k) WHERE k < p AND p % k = 0)")
+@query("primes", "WITH n AS (SELECT count(*) AS n FROM orders), f AS (SELECT unnest(generate_series(2, CAST(sqrt(n) AS BIGINT) + 1)) AS k FROM n) SELECT CAST(p AS BIGINT) AS p FROM generate_series(2, (SELECT n FROM n)) g(p) WHERE NOT EXISTS (SELECT 1 FROM f WHERE k < p AND p % k = 0)")
 def _(spark, d):
-    return numeric.primes(spark, 20_000)
+    """Up to as many as there are orders."""
+    return numeric.primes(spark, table(spark, d, "orders").count())
 
 
-@query("integrate", "SELECT round(sum(sqrt(x)) * 0.0001, 6) AS integral FROM (SELECT 0.00005 + i * 0.0001 AS x FROM generate_series(0, 99999) g(i))")
+@query("integrate", "WITH n AS (SELECT 10.0::DOUBLE / count(*) AS h, count(*) AS n FROM lineitem) SELECT round(sum(sqrt(h / 2 + i * h)) * any_value(h), 6) AS integral FROM n, generate_series(0, (SELECT n - 1 FROM n)) g(i)")
 def _(spark, d):
-    return numeric.integrate(spark, F.sqrt("x"), 0.0, 10.0, 100_000).select(F.round("integral", 6).alias("integral"))
+    """In as many steps as there are lines of orders."""
+    return numeric.integrate(spark, F.sqrt("x"), 0.0, 10.0, table(spark, d, "lineitem").count()).select(F.round("integral", 6).alias("integral"))
 
 
 @query("range_min", SEQ.rstrip() + ", q AS (SELECT o_orderkey AS q, (o_orderkey * 37) % (SELECT count(*) FROM s) AS i, o_custkey AS w FROM orders), p AS (SELECT q, i, least(i + w, (SELECT count(*) FROM s) - 1) AS j FROM q) SELECT q, arg_min(pos, (val, pos)) AS pos FROM p JOIN s ON s.pos BETWEEN i AND j GROUP BY q")

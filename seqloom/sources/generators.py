@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def _unit(seed: int, *cols: Column | str) -> Column:
     """A hash of seed and columns in [0, 1)."""
@@ -90,22 +92,25 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, closed: boo
     """Edges of a lattice in which each vertex has k / 2 neighbours on each side, each
     edge's far end moved with probability ``beta`` to another vertex.
 
-    ``closed`` joins the ends of the lattice. An end that would make a loop or a
-    duplicate is drawn again, 100 times at most, and stays where it was after that.
+    ``closed`` joins the ends of the lattice. An end that makes a loop or a duplicate is
+    drawn again, 100 times at most, and stays where it was after that. All edges draw at
+    once, and of equal ones the first keeps its place: a round is one exchange by pair.
     """
-    out = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(k // 2))).alias("d")).select("src", (F.col("src") + F.col("d")).alias("dst"))
+    out = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(k // 2))).alias("d")).select("src", "d", (F.col("src") + F.col("d")).alias("dst"))
     out = out.withColumn("dst", F.col("dst") % n) if closed else out.where(F.col("dst") < n)
     if beta <= 0:
-        return out
-    rng, edges = np.random.default_rng(seed), [(r["src"], r["dst"]) for r in out.orderBy("src", "dst").collect()]
-    have = {(min(e), max(e)) for e in edges}
-    for i, (u, v) in enumerate(edges):
-        if rng.random() < beta:
-            for _ in range(100):
-                w = int(rng.integers(n))
-                if w != u and (min(u, w), max(u, w)) not in have:
-                    have.remove((min(u, v), max(u, v)))
-                    have.add((min(u, w), max(u, w)))
-                    edges[i] = (u, w)
-                    break
-    return spark.createDataFrame(edges, "src long, dst long")
+        return out.select("src", "dst")
+    drawn = out.withColumns({"e": F.col("src") * k + F.col("d"), "moves": _unit(seed, "src", "d") < beta, "tries": F.lit(0)})
+    state = cut(drawn.select("e", "src", "dst", "moves", "tries", F.col("dst").alias("old")), "lattice")
+    while True:
+        # of edges that join the same two vertices the first that does not move stays, else the first that moves
+        pair = Window.partitionBy(F.least("src", "dst"), F.greatest("src", "dst")).orderBy("moves", "e")
+        far = F.floor(_unit(seed + 1, "e", "tries") * n).cast("long")
+        placed = state.withColumn("dst", F.when(F.col("moves"), far).otherwise(F.col("dst")))
+        judged = placed.withColumn("bad", F.col("moves") & ((F.col("src") == F.col("dst")) | (F.row_number().over(pair) > 1)))
+        judged = cut(judged, "rewired")
+        if judged.where("bad").isEmpty():
+            return judged.select("src", "dst")
+        again = F.col("bad") & (F.col("tries") < 100)
+        stays = F.col("bad") & ~again
+        state = judged.select("e", "src", F.when(stays, F.col("old")).otherwise(F.col("dst")).alias("dst"), (F.col("moves") & ~stays).alias("moves"), (F.col("tries") + again.cast("int")).alias("tries"), "old")
