@@ -27,6 +27,21 @@ def assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
     return points.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, "id long, center int, d2 double")
 
 
+def _sums(points: DataFrame, centers: np.ndarray) -> DataFrame:
+    """(center, n, s): how many points (vec) of a batch are nearest to each center, and their sum, added up where they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["vec"].to_numpy())
+            best = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1).argmin(axis=1)
+            found = np.unique(best)
+            yield pd.DataFrame({"center": found.astype("int32"), "n": [int((best == c).sum()) for c in found], "s": [x[best == c].sum(axis=0) for c in found]})
+
+    return points.select("vec").mapInPandas(run, "center int, n long, s array<double>")
+
+
 def kmeans(points: DataFrame, k: int, eps: float = 0.005, max_rounds: int | None = 50, seed: int = 1) -> tuple[np.ndarray, int]:
     """Centers, and the rounds taken: seeded in proportion to squared distance, then
     moved until they move less than ``eps`` together (``max_rounds`` None: however long that takes).
@@ -50,7 +65,7 @@ def kmeans(points: DataFrame, k: int, eps: float = 0.005, max_rounds: int | None
         centers = np.vstack([centers, new["vec"]])
     dims = centers.shape[1]
     for r in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
-        got = assign(own, centers).join(own, "id").groupBy("center").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("vec")[i]).alias(f"s{i}") for i in range(dims))).collect()  # a row for each center
+        got = _sums(own, centers).groupBy("center").agg(F.sum("n").alias("n"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(dims))).collect()  # a row for each center
         moved = centers.copy()
         for row in got:
             moved[row["center"]] = np.array([row[f"s{i}"] for i in range(dims)]) / row["n"]
