@@ -53,9 +53,12 @@ def _(spark, d):
     return graphs.renumber(part_graph(spark, d)[1])[0]
 
 
-@query("check_symmetry", EDGES + "SELECT count(*) AS missing FROM e")
+@query("check_symmetry", EDGES.rstrip() + ", g AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE (src + dst) % 3 = 0) SELECT count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM g r WHERE r.src = g.dst AND r.dst = g.src)")
 def _(spark, d):
-    return graphs.check_symmetry(part_graph(spark, d)[1]).agg(F.count(F.lit(1)).alias("missing"))
+    """A third of the edges have their reverse."""
+    edges = part_graph(spark, d)[1]
+    back = edges.where((F.col("src") + F.col("dst")) % 3 == 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graphs.check_symmetry(edges.unionByName(back)).agg(F.count(F.lit(1)).alias("missing"))
 
 
 @query("adjacency", EDGES + "SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS neighbours FROM h GROUP BY 1")

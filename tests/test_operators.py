@@ -575,3 +575,9 @@ def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
             assert sorted(map(tuple, read(path).collect())) == sorted(map(tuple, edges.collect()))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_communities_of_nothing(spark):
+    nothing = spark.createDataFrame([], "src long, dst long, w double")
+    levels, quality = community.multi_level(spark.range(0).select("id"), nothing)
+    assert quality == 0.0 and community.compose(levels).count() == 0 and community.level_sizes(levels) == [0, 0]
