@@ -31,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; null texts and texts without letters are ``und``. Nulls, repeated rows and long texts as in ``language_id.predict``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     train = language_id.sample(docs.where(~F.col("held_out") & F.col("lang").isNotNull()), "doc_id", "lang")
     return language_id.predict(docs.drop("lang"), ["doc_id", "held_out"], language_id.fit(train))
@@ -46,10 +47,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's tokens of every whole text; a null text is an empty one, and repeated rows are counted each."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer("byte_bpe_50k.json"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every whole text; a null text has none, and rows that share an id are scanned each."""
     found = secrets.scan(table(spark, sf_dir, "documents"), "doc_id")
     strong = secrets.strong_only(F.col("spans"))
     count = lambda k: F.size(F.filter(strong, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -57,28 +60,34 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by whole texts; null ids, shared ids and texts without words as in ``minhash.near_duplicates``."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; null sources come last, null texts have no words, repeated rows are sampled each."""
     docs = table(spark, sf_dir, "documents")
     return mixing.take(mixing.sizes(docs, ["doc_id", "source"]), "source", "doc_id").drop("source")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text and what they decode to, as digests; a null text is an empty one."""
     return bpe.encode_texts(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer("word_bpe_49k.json"), ids=False)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector; null, zero and non-finite vectors and repeated ids as in ``ann.nearest``."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's and the base score of every whole text; null and empty texts are one end."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures and verdict of every document; null texts have no words and fail, null hosts are one host."""
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("host_rate")
 
 
