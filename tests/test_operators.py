@@ -293,8 +293,8 @@ def test_small_graphs(spark):
     v, two = graph(spark, 6, [(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1), (2, 3, 1)])
     comm = v.select("id", F.floor(F.col("id") / 3).alias("comm"))
     assert math.isclose(community.modularity(both(two), comm).first()[0], 5 / 14)
-    for local in (0, 20):
-        levels, q = community.multi_level(v, both(two), local=local)
+    for part in (2, 5, 20):  # the two vertices of degree 3 are in no part; three parts; one
+        levels, q = community.multi_level(v, both(two), part=part)
         assert math.isclose(q, 5 / 14) and sorted(Counter(r["comm"] for r in community.compose(levels).collect()).values()) == [3, 3]
         assert community.level_sizes(levels)[-1] == 2
     inner = {(r["src"], r["dst"]): r["w"] for r in community.contract(both(two), comm).collect()}
@@ -307,9 +307,9 @@ def test_communities_recover_blocks(spark):
     v = spark.range(200)
     half = both(generators.block_model(spark, 200, 4, 0.4, 0.01).withColumn("eid", F.lit(0)))
     planted = community.modularity(half, v.select("id", (F.col("id") % 4).alias("comm"))).first()[0]
-    # rounds only, rounds until a level is small, and one task
-    for local in (0, half.count() - 1, community.LOCAL):
-        levels, q = community.multi_level(v, half, local=local)
+    # vertices of more than 18 links are in no part; three parts; one
+    for part in (18, half.count() // 3 + 1, community.PART):
+        levels, q = community.multi_level(v, half, part=part)
         last = community.compose(levels)
         assert q > 0.9 * planted and math.isclose(q, community.modularity(half, last).first()[0], abs_tol=1e-9)
         assert last.count() == 200 == last.select("id").distinct().count()
@@ -324,7 +324,7 @@ def test_one_level_from_given_communities(spark):
     alone, q = community.one_level(both(two).where("w < 0"), start)  # no links: nothing moves
     assert q == 0 and {r["id"]: r["comm"] for r in alone.collect()} == {r["id"]: r["comm"] for r in start.collect()}
     none, q = community.multi_level(v.where("id < 0"), both(two).where("w < 0"))
-    assert q == 0 and none == []
+    assert q == 0 and community.compose(none).count() == 0
 
 
 def test_pagerank(spark, random_graph):
