@@ -30,6 +30,14 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, eps:
     return state.select("id", "rank"), max_iterations + 1
 
 
+def average_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the mean over vertices of how far two rankings (id, rank) differ, and the
+    largest difference. A vertex that one of them lacks has rank 0 there; null for no vertices."""
+    both = a.select("id", F.col("rank").alias("x")).join(b.select("id", F.col("rank").alias("y")), "id", "full")
+    apart = F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))
+    return both.agg(F.avg(apart).alias("average_difference"), F.max(apart).alias("largest_difference"))
+
+
 def apply_matrix(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """(pos, val): a sparse matrix (row, col, val) times a vector (pos, val); rows without entries are missing."""
     x = vector.select(F.col("pos").alias("col"), F.col("val").alias("x"))

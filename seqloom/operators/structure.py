@@ -62,18 +62,23 @@ def core_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     Estimates begin at the degrees; each round takes the largest h such that h
     neighbours have estimates of h or more. Neighbours are counted by estimate, so a
-    hub is as many rows as its neighbours have different estimates.
+    hub is as many rows as its neighbours have different estimates. After the first
+    round only vertices that a neighbour fell below are counted again, as others keep theirs.
     """
     both = cut(symmetrize(edges), "both")
     d = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core"))
     state = vertices.select("id").join(d, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"), F.lit(True).alias("changed"))
     down = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
 
-    def step(now: DataFrame, _: int) -> DataFrame:
-        est = now.select(F.col("id").alias("dst"), F.col("core").alias("c"))
-        counts = both.join(est, "dst").groupBy("src", "c").agg(F.count(F.lit(1)).alias("k"))
+    def step(now: DataFrame, rounds: int) -> DataFrame:
+        est, links = now.select(F.col("id").alias("dst"), F.col("core").alias("c")), both
+        if rounds:
+            fell = both.join(now.where("changed").select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
+            touched = fell.join(now.select(F.col("id").alias("src"), "core"), "src").where("c < core").select("src")
+            links = both.join(touched, "src", "left_semi")
+        counts = links.join(est, "dst").groupBy("src", "c").agg(F.count(F.lit(1)).alias("k"))
         h = counts.withColumn("upto", F.sum("k").over(down)).groupBy(F.col("src").alias("id")).agg(F.max(F.least("c", "upto")).alias("h"))
-        new = F.least("core", F.coalesce("h", F.lit(0)))
+        new = F.least("core", "h")  # no h: the vertex was not counted again, and keeps what it has
         return now.join(h, "id", "left").select("id", new.alias("core"), (new < F.col("core")).alias("changed"))
 
     return fixpoint(state, step, "changed")[0].drop("changed")

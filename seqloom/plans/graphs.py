@@ -177,6 +177,13 @@ def _(spark, d):
     return ranking.pagerank(vertices, edges, eps=0.0, max_iterations=8)[0].select("id", F.round("rank", 9).alias("rank"))
 
 
+@query("rank_difference", _walk_sql(8).rsplit(" SELECT ", 1)[0] + " SELECT round(avg(abs(a.rank - b.rank)), 12) AS average_difference, round(max(abs(a.rank - b.rank)), 12) AS largest_difference FROM r8 a JOIN r4 b USING (id)")
+def _(spark, d):
+    vertices, edges = part_graph(spark, d)
+    late, early = (ranking.pagerank(vertices, edges, eps=0.0, max_iterations=k)[0] for k in (8, 4))
+    return ranking.average_difference(late, early).select(F.round("average_difference", 12).alias("average_difference"), F.round("largest_difference", 12).alias("largest_difference"))
+
+
 @query("matrix_vector", EDGES + "SELECT e.src AS pos, CAST(sum(e.dst % 10) AS DOUBLE) AS val FROM e GROUP BY 1")
 def _(spark, d):
     vertices, edges = part_graph(spark, d)

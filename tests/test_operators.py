@@ -327,6 +327,13 @@ def test_one_level_from_given_communities(spark):
     assert q == 0 and community.compose(none).count() == 0
 
 
+def test_average_difference(spark):
+    a, b = (spark.createDataFrame(rows, "id long, rank double") for rows in ([(1, 0.5), (2, 0.5)], [(2, 0.25), (3, 0.75)]))
+    got = ranking.average_difference(a, b).first()
+    assert math.isclose(got[0], (0.5 + 0.25 + 0.75) / 3) and got[1] == 0.75
+    assert ranking.average_difference(a, a).first()[0] == 0 and ranking.average_difference(a.limit(0), b.limit(0)).first()[0] is None
+
+
 def test_pagerank(spark, random_graph):
     edges, v, _ = random_graph
     directed = spark.createDataFrame([(a, b) for a, b, _ in edges], "src long, dst long")
