@@ -168,20 +168,23 @@ def take(measured: DataFrame, source: str, key: str, weights: tuple[int, ...] =
     is a source like any other, the last in order; a null key sorts first. Documents
     without words take no part and give 0. Repeated rows are sampled each on their
     own. Reruns give the same rows, whatever the partitioning: blocks follow from
-    hashes of the key, their order from key, size and the number of the copy.
+    hashes of the key, their order from key, size and the number of the copy. An empty
+    table gives an empty result. Other columns are carried, whatever their names; one that
+    is called source_size, target or taken gives way to the result of that name.
     """
-    spark = measured.sparkSession
-    shares = targets(measured, source, weights, most).withColumnRenamed(source, "_s")
-    schema = measured.schema
+    spark, schema = measured.sparkSession, measured.schema
+    carried = [c for c in schema.names if c not in (source, key, "size", "source_size", "target", "taken")]
+    aside = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("_row")] if carried else []
+    measured = measured.select(F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), "size", *aside)
+    shares = targets(measured, "source", weights, most).withColumnRenamed("source", "_s")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = Window.partitionBy("_g", key, "size", source).orderBy(F.lit(0))
-    own = measured.withColumn("_g", F.xxhash64(key, "size"))
+    copies = Window.partitionBy("_g", "key", "size", "source").orderBy(F.lit(0))
+    own = measured.withColumn("_g", F.xxhash64("key", "size"))
     own = own.withColumn("_copy", F.row_number().over(copies)).drop("_g")
-    own = own.join(shares, F.col(source).eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("_f", f)
+    own = own.join(shares, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("_f", f)
     own = cut(own.withColumn("_times", F.floor(F.col("_f") + 1e-9)).withColumn("_p", F.greatest(F.col("_f") - F.col("_times"), F.lit(0.0))), "mix")
     open_ = own.where((F.col("size") > 0) & (F.col("_p") > 1e-9)).select(
-        F.col(source).alias("source"), F.col(key).alias("key"), "size", F.col("_copy").alias("copy"), F.col("_p").alias("p"),
-        F.xxhash64(F.col(key), F.col("size"), F.col("_copy")).alias("spot"),
+        "source", "key", "size", F.col("_copy").alias("copy"), F.col("_p").alias("p"), F.xxhash64("key", "size", "_copy").alias("spot"),
     )
     counts = open_.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / BLOCK, F.lit(1.0))))).cast("long")
@@ -208,7 +211,8 @@ def take(measured: DataFrame, source: str, key: str, weights: tuple[int, ...] =
         chosen = chosen.where("p >= 1").select(F.col("key").alias("_k"), F.col("size").alias("_z"), F.col("copy").alias("_n"), F.col("source").alias("_s"), F.lit(1).alias("_once"))
     else:
         chosen = spark.createDataFrame([], f"_k {schema[key].dataType.simpleString()}, _z long, _n int, _s {schema[source].dataType.simpleString()}, _once int")
-    match = F.col(key).eqNullSafe(F.col("_k")) & (F.col("size") == F.col("_z")) & (F.col("_copy") == F.col("_n")) & F.col(source).eqNullSafe(F.col("_s"))
+    match = F.col("key").eqNullSafe(F.col("_k")) & (F.col("size") == F.col("_z")) & (F.col("_copy") == F.col("_n")) & F.col("source").eqNullSafe(F.col("_s"))
     out = own.join(chosen, match, "left")
     taken = (F.col("size") * (F.col("_times") + F.coalesce(F.col("_once"), F.lit(0)))).cast("long")
-    return out.select(*schema.names, "source_size", "target", taken.alias("taken"))
+    back = {source: F.col("source"), key: F.col("key"), "size": F.col("size")} | {c: F.col(f"_row.`{c}`") for c in carried}
+    return out.select(*(back[c].alias(c) for c in schema.names if c in back), "source_size", "target", taken.alias("taken"))

@@ -309,6 +309,19 @@ def test_mixing(spark, odd, documents):
         assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(k, f"s{k % 3}", k % 7) for k in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    names = ["target", "source_size", "taken", "_p", "_f", "_times", "_copy", "_g", "_s", "_row", "key", "copy", "p", "spot", "a.b"]
+    more = plain.select("*", *(F.col("doc_id").cast("string").alias(c) for c in names))
+    want = {r["doc_id"]: r["taken"] for r in mixing.take(plain, "source", "doc_id").collect()}
+    got = mixing.take(more, "source", "doc_id")
+    assert got.columns == ["doc_id", "source", "size", *names[3:], "source_size", "target", "taken"]
+    assert {r["doc_id"]: r["taken"] for r in got.collect()} == want and len(want) == 60
+    assert all(r[c] == str(r["doc_id"]) for r in got.collect() for c in names[3:])
+    assert mixing.take(more.limit(0), "source", "doc_id").count() == 0
+
+
 def test_cube_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size, p = rng.integers(1, 500, 3000).astype(float), rng.random(3000)

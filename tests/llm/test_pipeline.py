@@ -59,6 +59,9 @@ def test_odd_rows(spark):
     assert Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == {None: 1, 1: 1, 3: 2}
     mixed = corpus_pipeline.mixing_sources(spark, docs, "").collect()
     assert max(Counter(r["doc_id"] for r in mixed).values()) <= 6
+    twins = spark.createDataFrame([(5, text, "en", "s", 1), (5, text, "de", "s", 1), (5, text, "de", "s", 2), (6, text, "fr", "s", 1)], docs.schema)
+    mixed = corpus_pipeline.mixing_sources(spark, twins, "").collect()  # one source: everything once
+    assert Counter(mixed) == Counter(twins.collect())
 
 
 def test_near_duplicates_of_shared_and_missing_ids(spark):
