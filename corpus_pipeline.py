@@ -52,7 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; all documents stay."""
+    """Secrets are replaced in the texts; all documents stay, also those with a null text, which
+    stays null. An empty table stays empty."""
     clean = secrets.redact(docs.select(COLUMNS), "doc_id")
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(COLUMNS)
 
@@ -60,18 +61,22 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stands as often as the mix takes it; what it does not take goes.
 
-    Equal rows are sampled each and stand as often as they are taken together.
+    Rows of one id, text and source are sampled each; what they are taken together is dealt
+    out to them evenly, in order of the other columns. A null text has no words and goes, as
+    do texts without words; an empty table stays empty.
     """
     own = docs.select(*COLUMNS, _key().alias("_key"))
-    mixed = mixing.take(mixing.sizes(own, ["doc_id", "_key", "source"]), "source", "doc_id").where("taken > 0")
-    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), F.col("source").alias("_source")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    mixed = mixing.take(mixing.sizes(own, ["doc_id", "_key", "source"]), "source", "doc_id")
+    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), F.col("source").alias("_source")).agg(F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size"))).cast("int").alias("times"), F.count(F.lit(1)).cast("int").alias("_rows")).where("times > 0")
     one = Window.partitionBy("doc_id", "_key", "source").orderBy("lang", "n_chars")
-    out = own.join(times, _same(own, times) & own["source"].eqNullSafe(times["_source"])).withColumn("_r", F.row_number().over(one)).where("_r = 1")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    out = own.join(times, _same(own, times) & own["source"].eqNullSafe(times["_source"])).withColumn("_r", F.row_number().over(one))
+    own_times = F.expr("times div _rows + if(_r <= times % _rows, 1, 0)").cast("int")
+    return out.withColumn("_times", own_times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang and source with the ids of the text."""
+    """doc_id, lang and source with the ids of the whole text; a null text counts as empty and has
+    no ids. Rows are encoded each, also equal ones; an empty table stays empty."""
     out = bpe.encode_texts(docs, ["doc_id", "lang", "source"], tokenizer("word_bpe_49k.json"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids")
 
