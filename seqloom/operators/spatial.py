@@ -188,27 +188,33 @@ def upper_hull(points: DataFrame) -> DataFrame:
     return few.coalesce(1).mapInPandas(run, schema).orderBy("x")
 
 
-def total_forces(bodies: DataFrame, block: int = 512) -> DataFrame:
+def total_forces(bodies: DataFrame, block: int = 512, unit: float | None = None) -> DataFrame:
     """(id, fx, fy, fz): the exact sum over all other bodies (id, x, y, z, mass) of
-    mass * d / |d|^3. Bodies meet block by block, and sums, not pairs, leave a block."""
+    mass * d / |d|^3. Bodies meet block by block, and sums, not pairs, leave a block.
+
+    With ``unit`` every pair's force is rounded to whole units and sums are longs of these,
+    which no order of adding changes."""
     own = cut(bodies.select("id", *(F.col(c).cast("double").alias(c) for c in (*AXES, "mass"))), "bodies")
     blocks = max(1, -(-own.count() // block))
-    spot = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    spot = F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))  # of the type of spot: sides meet by the hash of (b, p)
     side = own.withColumn("b", spot)
-    left = side.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = side.withColumnRenamed("b", "p").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = side.withColumn("p", every)
+    right = side.withColumnRenamed("b", "p").withColumn("b", every)
+    kind = "double" if unit is None else "long"
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((len(a), 3))
+        out = np.zeros((len(a), 3), dtype=float if unit is None else np.int64)
         if len(a) and len(b):
             d = b[list(AXES)].to_numpy()[None, :, :] - a[list(AXES)].to_numpy()[:, None, :]
             r2 = (d**2).sum(axis=2)
-            with np.errstate(divide="ignore"):
-                w = np.where(r2 > 0, b["mass"].to_numpy()[None, :] * r2**-1.5, 0.0)
-            out = (d * w[:, :, None]).sum(axis=1)
+            apart = (r2 > 0)[:, :, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                f = np.where(apart, b["mass"].to_numpy()[None, :, None] * d / (r2 * np.sqrt(r2))[:, :, None], 0.0)
+            out = (f if unit is None else np.floor(f / unit + 0.5).astype(np.int64)).sum(axis=1)
         return pd.DataFrame({"id": a["id"].to_numpy() if len(a) else [], "fx": out[:, 0], "fy": out[:, 1], "fz": out[:, 2]})
 
-    parts = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(run, "id long, fx double, fy double, fz double")
+    parts = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(run, f"id long, fx {kind}, fy {kind}, fz {kind}")
     return parts.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("fx", "fy", "fz")))
 
 
