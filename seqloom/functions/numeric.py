@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,15 +58,32 @@ def line_fit(points: DataFrame) -> DataFrame:
     return points.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
 
 
-def primes(spark: SparkSession, n: int) -> DataFrame:
-    """(p) of all primes up to ``n``: numbers without the multiples of primes up to its root."""
+def primes(spark: SparkSession, n: int, segment: int = 1 << 18) -> DataFrame:
+    """(p) of all primes up to ``n``: numbers without the multiples of primes up to its root.
+
+    Segments of ``segment`` numbers, or the root of ``n`` if that is more, are sieved where they
+    are. Only primes up to the root go to every task.
+    """
     if n < 2:
         return spark.range(0).select(F.col("id").alias("p"))
     if n < 4:
         return spark.range(2, n + 1).select(F.col("id").alias("p"))
-    small = primes(spark, int(n**0.5))
-    multiples = small.select(F.explode(F.sequence(F.col("p") * F.col("p"), F.lit(n).cast("long"), F.col("p"))).alias("p")).distinct()
-    return spark.range(2, n + 1).select(F.col("id").alias("p")).join(multiples, "p", "left_anti")
+    root = math.isqrt(n)
+    size = max(segment, root)
+    small = primes(spark, root, segment).agg(F.collect_list("p").alias("small"))  # one row, of the primes up to the root
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, start in enumerate(batch.column(0).to_pylist()):
+                end = min(start + size, n + 1)
+                left = np.ones(end - start, dtype=bool)
+                left[: max(0, 2 - start)] = False
+                for q in batch.column(1)[i].values.to_numpy().tolist():
+                    left[max(q * q, -(-start // q) * q) - start :: q] = False
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(left) + start)], names=["p"])
+
+    starts = spark.range(0, n + 1, size, max(1, min(-(-(n + 1) // size), 1_000)))
+    return starts.crossJoin(F.broadcast(small)).mapInArrow(sieve, "p long")
 
 
 def integrate(spark: SparkSession, f: Column, start: float, end: float, n: int) -> DataFrame:
