@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,17 +93,39 @@ def integrate(spark: SparkSession, f: Column, start: float, end: float, n: int)
     return spark.range(n).select((F.lit(start + step / 2) + F.col("id") * step).alias("x")).agg((F.sum(f) * step).alias("integral"))
 
 
-def range_min(seq: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+def range_min(seq: DataFrame, queries: DataFrame, block: int = 64) -> DataFrame:
     """(q, pos): the first position of the least value in positions i..j (inclusive) of each query (q, i, j).
 
-    A query asks the minima of the blocks that it covers, and elements in its end blocks only.
+    A query over several blocks takes the least from i to its block's end, that from the start of
+    j's block to j, and of the whole blocks between them two runs of 2**k blocks that may
+    overlap. One within a block looks at its elements, ``block`` at most.
     """
     b = F.floor(F.col("pos") / block)
-    minima = seq.groupBy(b.alias("b")).agg(F.min(F.struct("val", "pos")).alias("m"))
+    in_block = Window.partitionBy("b")
+    m = F.struct("val", "pos")
+    from_start, to_end = (F.min(m).over(in_block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("pos"), F.desc("pos")))
+    placed = cut(seq.select("pos", "val", b.alias("b")).withColumns({"upto": from_start, "since": to_end}), "placed")
+    level = cut(placed.groupBy("b").agg(F.min(m).alias("m")), "runs")
+    last = placed.agg(F.max("pos")).first()[0]
+    last = -1 if last is None else last
+    top, k = last // block + 1, 0
+    runs = level.withColumn("k", F.lit(0))
+    while 2 << k <= top:
+        later = level.select((F.col("b") - (1 << k)).alias("b"), F.col("m").alias("n"))
+        level = cut(level.join(later, "b", "left").select("b", F.least("m", "n").alias("m")), "runs")
+        k += 1
+        runs = runs.unionByName(level.withColumn("k", F.lit(k)))
     lo, hi = F.floor(F.col("i") / block), F.floor(F.col("j") / block)
-    inner = queries.where(hi - lo > 1).select("q", F.explode(F.sequence(lo + 1, hi - 1)).alias("b")).join(minima, "b").select("q", "m")
-    ends = queries.select("q", "i", "j", F.explode(F.array_distinct(F.array(lo, hi))).alias("b")).join(seq.withColumn("b", b), "b").where("pos between i and j").select("q", F.struct("val", "pos").alias("m"))
-    return inner.unionByName(ends).groupBy("q").agg(F.min("m").alias("m")).select("q", F.col("m.pos").alias("pos"))
+    within = queries.where("i <= j").select("q", F.greatest("i", F.lit(0)).cast("long").alias("i"), F.least("j", F.lit(last)).cast("long").alias("j")).where("i <= j")
+    asked = cut(within.select("q", "i", "j", lo.alias("lo"), hi.alias("hi")), "asked")
+    wide = asked.where("lo < hi")
+    parts = [wide.select("q", F.col("i").alias("pos")).join(placed, "pos").select("q", F.col("since").alias("m")), wide.select("q", F.col("j").alias("pos")).join(placed, "pos").select("q", F.col("upto").alias("m"))]
+    inner = asked.where("hi - lo > 1").withColumn("k", (F.length(F.bin(F.col("hi") - F.col("lo") - 1)) - 1).cast("int"))
+    starts = F.array_distinct(F.array(F.col("lo") + 1, F.col("hi") - F.expr("shiftleft(1L, k)")))
+    parts.append(inner.select("q", "k", F.explode(starts).alias("b")).join(runs, ["k", "b"]).select("q", "m"))
+    parts.append(asked.where("lo = hi").select("q", F.explode(F.sequence("i", "j")).alias("pos")).join(placed, "pos").select("q", m.alias("m")))
+    found = reduce(lambda x, y: x.unionByName(y), parts)
+    return found.groupBy("q").agg(F.min("m").alias("m")).select("q", F.col("m.pos").alias("pos"))
 
 
 def cycle_count(permutation: DataFrame) -> int:
