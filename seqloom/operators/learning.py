@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
@@ -124,36 +124,47 @@ def decision_tree(rows: DataFrame, kinds: dict[str, str], label: str, max_depth:
                 splits.append(node)
         if not splits:
             break
-        child, open_ = F.lit(None).cast("int"), []
+        open_ = []
         values: dict[tuple[int, str], list[int]] = {}
         for r in by_value.where(F.col("_node").isin(splits) & F.col("f").isin(discrete)).select("_node", "f", "v").collect() if discrete else []:
             values.setdefault((r["_node"], r["f"]), []).append(r["v"])
         for node in splits:
             f, c = nodes[node]["feature"], nodes[node]["cut"]
-            branches = [(v, F.col(f) == v) for v in sorted(values[node, f])] if c is None else [(0, F.col(f) < c), (1, F.col(f) >= c)]
             nodes[node]["children"] = {}
-            for v, cond in branches:
+            for v in sorted(values[node, f], key=lambda v: (v is not None, v)) if c is None else (0, 1):
                 new = len(nodes)
                 nodes.append({"id": new, "depth": nodes[node]["depth"] + 1})
                 nodes[node]["children"][v] = new
                 open_.append(new)
-                child = F.when((F.col("_node") == node) & cond, F.lit(new)).otherwise(child)
-        state = cut(state.withColumn("_node", child).where(F.col("_node").isNotNull()), "tree")
+        state = cut(_step(state, "_node", [nodes[i] for i in splits], list(kinds), F.lit(None)).where(F.col("_node").isNotNull()), "tree")
     return nodes
 
 
+def _step(rows: DataFrame, at: str, inner: list[dict], features: list[str], stay: Column) -> DataFrame:
+    """rows with ``at`` moved from an inner node to the child that their feature's value leads to; else ``stay``."""
+    spark = rows.sparkSession
+    branches = [(n["id"], features.index(n["feature"]), n["cut"], None if v is None else int(v), c) for n in inner for v, c in n["children"].items()]
+    table = spark.createDataFrame(branches, "_n int, _f int, _cut long, _v long, _child int")  # a row for each branch of a level
+    of = table.groupBy("_n").agg(F.first("_f").alias("_f"), F.first("_cut").alias("_cut"))
+    value = F.array(*(F.col(c).cast("long") for c in features))[F.col("_f")]
+    own = rows.join(F.broadcast(of), F.col(at) == F.col("_n"), "left").withColumn("_x", value)
+    own = own.withColumn("_x", F.when(F.col("_cut").isNull(), F.col("_x")).otherwise((F.col("_x") >= F.col("_cut")).cast("long"))).drop("_n", "_f", "_cut")
+    to = F.broadcast(table.select(F.col("_n"), "_v", "_child"))
+    moved = own.join(to, (F.col(at) == F.col("_n")) & F.col("_x").eqNullSafe(F.col("_v")), "left")
+    return moved.withColumn(at, F.coalesce(F.col("_child"), stay).cast("int")).drop("_x", "_n", "_v", "_child")
+
+
 def classify(rows: DataFrame, nodes: list[dict], out: str = "predicted") -> DataFrame:
-    """rows with the label of the leaf they reach; a value no branch has stops at its node."""
-    at = F.lit(0)
-    for node in nodes:
-        if "children" in node:
-            f, c = F.col(node["feature"]), node["cut"]
-            to = F.lit(node["id"])
-            for v, child in node["children"].items():
-                to = F.when((f == v) if c is None else ((f >= c) == bool(v)), F.lit(child)).otherwise(to)
-            at = F.when(at == node["id"], to).otherwise(at)
-    labels = F.array(*(F.lit(n.get("label")).cast("long") for n in nodes))
-    return rows.withColumn(out, labels[at])
+    """rows with the label of the leaf they reach; a value no branch has stops at its node.
+
+    A level is a join with its branches, so the plan grows with the depth and not with the nodes."""
+    inner = [n for n in nodes if "children" in n]
+    features = sorted({n["feature"] for n in inner})
+    got = rows.withColumn("_at", F.lit(0))
+    for depth in sorted({n["depth"] for n in inner}):
+        got = _step(got, "_at", [n for n in inner if n["depth"] == depth], features, F.col("_at"))
+    labels = rows.sparkSession.createDataFrame([(n["id"], None if n.get("label") is None else int(n["label"])) for n in nodes], f"_n int, {out} long")  # a row for each node
+    return got.drop(out).join(F.broadcast(labels), F.col("_at") == F.col("_n"), "left").drop("_at", "_n")
 
 
 def lasso(rows: DataFrame, features: list[str], target: str, penalty: float, rounds: int = 500) -> np.ndarray:
