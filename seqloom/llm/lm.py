@@ -40,11 +40,11 @@ STRENGTH, ROOT_DISCOUNT = 1.0, 0.5
 #: Customers of a dish up to which the law of its tables is exact.
 EXACT = 512
 #: Words that a task gathers before it passes on their counts; occurrences that it packs at once; those of a bucket.
-GATHER, PACK, BUCKET = 2_000_000, 400_000, 400_000
+GATHER, PACK, BUCKET = 1_000_000, 400_000, 400_000
 #: Bytes of packed buckets that a task reads.
 SPLIT = 16 << 20
 #: Sums of texts that a task gathers before it passes them on.
-HELD = 2_000_000
+HELD = 500_000
 #: The end as a context.
 END = np.uint64(0)
 
