@@ -128,13 +128,33 @@ def range_min(seq: DataFrame, queries: DataFrame, block: int = 64) -> DataFrame:
     return found.groupBy("q").agg(F.min("m").alias("m")).select("q", F.col("m.pos").alias("pos"))
 
 
-def cycle_count(permutation: DataFrame) -> int:
+def cycle_count(permutation: DataFrame, least: int = 100_000) -> int:
     """Cycles of a permutation (pos, val).
 
-    Each round doubles the steps over which a position knows the least position of its
-    cycle, so rounds are log2 of the length.
+    Each round takes positions out of their cycles: of those that a coin, thrown anew, chooses,
+    those whose position before was not chosen, which then leads on to the one after. That is a
+    quarter of all, so that all rounds together shuffle a few times the input. A position that leads to
+    itself is a cycle. With at most ``least`` positions left, the steps are doubled over which a
+    position knows the least of its cycle.
     """
-    n, steps = permutation.count(), 1
+    state, cycles, rounds = permutation.select("pos", "val"), 0, 0
+    while True:
+        state = cut(state, "cycles")
+        row = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") == F.col("val")).alias("own")).first()
+        cycles, n = cycles + row["own"], row["n"] - row["own"]
+        open_ = state.where("pos <> val")
+        if n <= least:
+            return cycles + _cycles_by_doubling(open_, n)
+        coin = lambda c: F.xxhash64(F.lit(rounds), c).bitwiseAND(F.lit(1)) == 1  # noqa: E731, B023
+        chosen = open_.where(coin("pos")).select("pos", "val")
+        rest = open_.where(~coin("pos"))
+        jumps = rest.where(coin("val")).select(F.col("pos").alias("before"), F.col("val").alias("pos"))
+        moved = chosen.join(jumps, "pos", "left").select(F.coalesce("before", "pos").alias("pos"), "val")
+        state, rounds = rest.where(~coin("val")).select("pos", "val").unionByName(moved), rounds + 1
+
+
+def _cycles_by_doubling(permutation: DataFrame, n: int) -> int:
+    steps = 1
     state = permutation.select("pos", F.col("val").alias("to"), F.least("pos", "val").alias("least"))
     while steps < n:
         ahead = state.select(F.col("pos").alias("to"), F.col("to").alias("further"), F.col("least").alias("m"))

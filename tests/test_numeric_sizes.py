@@ -39,3 +39,20 @@ def test_range_min_meets_few_elements(spark, monkeypatch):
     monkeypatch.setattr(numeric, "reduce", lambda f, parts: met.append(sum(p.count() for p in parts)) or union(f, parts))
     assert numeric.range_min(seq, q).count() == n
     assert met[0] < 6 * n
+
+
+def test_cycles_by_contraction(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    to = np.concatenate([rng.permutation(300), [300, 302, 301]]).tolist()
+    seen, want = set(), 0
+    for i in range(len(to)):
+        want += i not in seen
+        while i not in seen:
+            seen.add(i)
+            i = to[i]
+    left = []
+    doubling = numeric._cycles_by_doubling
+    monkeypatch.setattr(numeric, "_cycles_by_doubling", lambda df, n: left.append(n) or doubling(df, n))
+    df = spark.createDataFrame(list(enumerate(to)), "pos long, val long")
+    assert numeric.cycle_count(df, least=40) == want and left[0] <= 40
+    assert numeric.cycle_count(df.limit(0)) == 0
