@@ -19,9 +19,9 @@ def _weight():
 
 
 def _text(rows: DataFrame, order: list[str], spark, name: str) -> str:
-    """Writes rows (value) in order as one text file; its path."""
+    """Writes rows (value) in order as text files that follow each other by name; their folder."""
     path = shared_path(spark, name)
-    rows.orderBy(*order).coalesce(1).select("value").write.text(path)
+    rows.orderBy(*order).select("value").write.text(path)
     return path
 
 
