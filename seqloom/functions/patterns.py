@@ -12,6 +12,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-#: Characters of a suffix that are in the order, and suffixes of a partition.
-HEAD, ROWS = 32, 65_536
+#: Characters of a suffix that are in the order, suffixes of a partition, and patterns that are looked up in one at once.
+HEAD, ROWS, ASKED = 32, 65_536, 65_536
 #: Longer than any head in UTF-8: what is put after a pattern to come after all that begin with it.
 _AFTER = b"\xff"
 
@@ -76,6 +77,8 @@ def _parts_of(index: SuffixIndex, patterns: DataFrame, head: int) -> DataFrame:
 def _search(index: SuffixIndex, patterns: DataFrame, head: int, out: Callable[[pd.DataFrame, pd.DataFrame, list[tuple[int, int]]], pd.DataFrame], schema: str) -> DataFrame:
     """What ``out`` makes of each part's suffixes, its patterns, and their intervals in it."""
     asked = cut(_parts_of(index, patterns, head), "asked")
+    # a part that many patterns ask is read with so many of them at a time
+    shares = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares"))
 
     def run(suffixes: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         suffixes = suffixes.sort_values("place", ignore_index=True)
@@ -83,8 +86,10 @@ def _search(index: SuffixIndex, patterns: DataFrame, head: int, out: Callable[[p
         spans = [(bisect_left(heads, k), bisect_left(heads, k + _AFTER)) for k in map(bytes, asked_["key"])]
         return out(suffixes, asked_, spans)
 
-    wanted = index.suffixes.join(asked.select("part").distinct(), "part", "left_semi")  # parts that no pattern asks are not read on
-    return wanted.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(run, schema)
+    wanted = index.suffixes.join(shares, "part")  # parts that no pattern asks are not read on
+    wanted = wanted.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    dealt = asked.join(shares, "part").withColumn("share", F.pmod(F.xxhash64("pattern"), F.col("shares")).cast("int")).drop("shares")
+    return wanted.groupBy("part", "share").cogroup(dealt.groupBy("part", "share")).applyInPandas(run, schema)
 
 
 def find(index: SuffixIndex, patterns: DataFrame, head: int = HEAD) -> DataFrame:
@@ -94,8 +99,11 @@ def find(index: SuffixIndex, patterns: DataFrame, head: int = HEAD) -> DataFrame
     kind = dict(index.suffixes.dtypes)["doc"]
 
     def out(suffixes: pd.DataFrame, asked: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
-        found = [suffixes.iloc[a:b][["doc", "at"]].assign(pattern=p) for (a, b), p in zip(spans, asked["pattern"]) if a < b]
-        return pd.concat(found)[["pattern", "doc", "at"]] if found else pd.DataFrame({"pattern": [], "doc": [], "at": []}).astype({"pattern": object, "at": "int64"})
+        first, end = np.array(spans, dtype=np.int64).reshape(-1, 2).T
+        times = end - first
+        rows = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        places = suffixes[["doc", "at"]].iloc[rows].reset_index(drop=True)
+        return places.assign(pattern=asked["pattern"].to_numpy()[np.repeat(np.arange(len(times)), times)])[["pattern", "doc", "at"]]
 
     got = cut(_search(index, patterns, head, out, f"pattern string, doc {kind}, at long"), "places")
     short = got.where(F.length("pattern") <= head)
