@@ -129,11 +129,11 @@ def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.n
     return h, np.diff(np.searchsorted(start, first))
 
 
-def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about BLOCK_BYTES; a longer text has a range of its own."""
+def groups(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes; a longer text has a range of its own."""
     at, size = 0, 0
     for i, x in enumerate(texts):
-        if i > at and size + len(x) > BLOCK_BYTES:
+        if i > at and size + len(x) > most:
             yield at, i
             at, size = i, 0
         size += len(x) + 1

@@ -40,9 +40,11 @@ STRENGTH, ROOT_DISCOUNT = 1.0, 0.5
 #: Customers of a dish up to which the law of its tables is exact.
 EXACT = 512
 #: Words that a task gathers before it passes on their counts; occurrences that it packs at once; those of a bucket.
-GATHER, PACK, BUCKET = 1_000_000, 400_000, 400_000
+GATHER, PACK, BUCKET = 400_000, 400_000, 400_000
 #: Bytes of packed buckets that a task reads.
 SPLIT = 16 << 20
+#: Texts that a worker gets at once, and bytes of them that it takes apart at once.
+TEXTS, BLOCK = 1_000, 1 << 17
 #: Sums of texts that a task gathers before it passes them on.
 HELD = 500_000
 #: The end as a context.
@@ -179,7 +181,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         for batch in pieces(batches):
             texts = as_bytes(batch.column(0))
-            for a, b in groups(texts):
+            for a, b in groups(texts, BLOCK):
                 h, _ = word_hashes(texts[a:b])
                 held.append(h)
                 size += len(h)
@@ -256,7 +258,7 @@ def occurrences(own: DataFrame, known, hot, buckets: int, kind: str) -> DataFram
         for batch in pieces(batches):
             types[9] = pa.list_(batch.schema.field(0).type)
             texts, ids, key, apart = as_bytes(batch.column(3)), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in groups(texts):
+            for a, b in groups(texts, BLOCK):
                 h, n = word_hashes(texts[a:b])
                 code, s = _symbols(h, n, known_)
                 place = np.arange(len(docs), len(docs) + b - a) * 2 + apart[a:b]
@@ -412,15 +414,27 @@ def rare_tables(words: DataFrame, discount: float, fresh: float) -> DataFrame:
 
 
 @contextmanager
-def _small_splits(spark: SparkSession) -> Iterator[None]:
-    """Buckets are large rows: while their jobs run, a task reads SPLIT bytes of them."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(SPLIT))
+def _settings(spark: SparkSession, values: dict[str, int]) -> Iterator[None]:
+    """The session's settings while jobs run."""
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _small_splits(spark: SparkSession):
+    """Buckets are large rows: while their jobs run, a task reads SPLIT bytes of them, and few
+    at once; they go to its worker one by one."""
+    return _settings(spark, {"spark.sql.files.maxPartitionBytes": SPLIT, "spark.sql.parquet.columnarReaderBatchSize": 8, "spark.sql.execution.arrow.maxRecordsPerBatch": 1})
+
+
+def _few_texts(spark: SparkSession):
+    """While jobs over texts run, a worker gets TEXTS of them at once."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": TEXTS})
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", contexts: int = CONTEXTS, table: int = TABLE, bucket: int = BUCKET) -> DataFrame:
@@ -436,7 +450,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", contexts:
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     train = _train(own)
-    counts = cut(word_counts(train), "counts")
+    with _few_texts(spark):
+        counts = cut(word_counts(train), "counts")
     ends = train.select(F.lit(1)).count()
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
     n_words, n_types, once, twice = sums["n"] or 0, sums["k"], sums["one"], sums["two"]
@@ -460,7 +475,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", contexts:
     keyed = own.select("doc_id", F.xxhash64("text").alias("key"), held_out("doc_id").alias("held"), "text")
     pairs = occurrences(keyed, known, hot, 1 + int(total) // bucket, kind)
     path = shared_path(spark, "pairs")
-    pairs.write.parquet(path)
+    with _few_texts(spark):
+        pairs.write.parquet(path)
     packed = spark.read.schema(pairs.schema).parquet(path)
     size = len(top) + 2
 
@@ -501,7 +517,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", contexts:
         names = ["doc_id", "key", "h", "m", "n_tokens", "n_known", "base"]
         for batch in pieces(batches):
             texts, doc, keys = as_bytes(batch.column(1)), batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in groups(texts):
+            for a, b in groups(texts, BLOCK):
                 h, n = word_hashes(texts[a:b])
                 at = np.clip(np.searchsorted(table_h, h), 0, max(len(table_h) - 1, 0))
                 seen = table_h[at] == h if len(table_h) else np.zeros(len(h), dtype=bool)
@@ -536,7 +552,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", contexts:
     )
     zero = F.lit(0).cast("long")
     met = met.unionByName(by_context.select("doc_id", "key", zero.alias("copies"), zero.alias("n"), zero.alias("k"), F.lit(0.0).alias("b"), F.col("x").alias("s")))
-    by_text = met.groupBy("doc_id", "key").agg(*(F.sum(x).alias(x) for x in ("copies", "n", "k", "b", "s")))
+    with _few_texts(spark):
+        by_text = cut(met.groupBy("doc_id", "key").agg(*(F.sum(x).alias(x) for x in ("copies", "n", "k", "b", "s"))), "texts")
     by_text = by_text.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     n = (F.col("n") / F.col("copies")).cast("long")
     return by_text.select(
