@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import renumber
+from ..operators.ordered import positions, renumber
 from ..storage import cut
 
 
@@ -80,23 +80,38 @@ def with_unit_weights(edges: DataFrame) -> DataFrame:
     return edges.withColumn("w", F.lit(1.0))
 
 
+#: Numbers in a piece of a binary graph.
+PIECE = 1 << 18
+
+
+def _packed(rows: DataFrame, part: int, offset: int, width: int, kind: str) -> DataFrame:
+    """(part, at, data): the numbers (pos, val) as bytes of ``kind`` in pieces; number ``pos`` stands at ``offset + width * pos``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        return pd.DataFrame({"part": [part], "at": [offset + width * int(pdf["pos"].iloc[0])], "data": [pdf["val"].to_numpy().astype(kind).tobytes()]})
+
+    return rows.groupBy(F.floor(F.col("pos") / PIECE).alias("_piece")).applyInPandas(run, "part int, at long, data binary")
+
+
 def write_csr(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """A binary graph as rows (part, data): u32 n, u64 cumulative degrees, u32 links, and
-    with weights a second row of f32 weights, in the order of the links.
+    """A binary graph as rows (part, at, data): the bytes at ``at`` of part 0, which is u32 n, u64
+    cumulative degrees, u32 links, and with weights of part 1, f32 weights in the order of the links.
 
-    The format is one array, so one task makes it; at scale the Parquet of the edges is
-    the sink.
+    A part is one array; pieces of PIECE numbers are made by as many tasks, and follow each other by ``at``.
     """
-    n, weighted = vertices.count(), "w" in edges.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"src": [], "dst": [], "w": []})]).sort_values(["src", "dst"])
-        degree = np.cumsum(np.bincount(pdf["src"].to_numpy(dtype=np.int64), minlength=n)).astype("<u8")
-        out = [struct.pack("<I", n) + degree.tobytes() + pdf["dst"].to_numpy().astype("<u4").tobytes()]
-        out += [pdf["w"].to_numpy().astype("<f4").tobytes()] if weighted else []
-        yield pd.DataFrame({"part": range(len(out)), "data": out})
+    from ..operators.scans import scan
 
-    edges.select("src", "dst", *(["w"] if weighted else [])).coalesce(1).mapInPandas(run, "part int, data binary").write.parquet(path)
+    n, weighted = vertices.count(), "w" in edges.columns
+    spark, links = vertices.sparkSession, cut(positions(edges.select("src", "dst", *(["w"] if weighted else [])), "src", "dst"), "links")
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    sizes = vertices.join(degree, "id", "left").select(F.col("id").alias("pos"), F.coalesce("k", F.lit(0)).alias("val"))
+    out = spark.createDataFrame([(0, 0, bytearray(struct.pack("<I", n)))], "part int, at long, data binary")
+    out = out.unionByName(_packed(scan(sizes, inclusive=True), 0, 4, 8, "<u8"))
+    out = out.unionByName(_packed(links.select("pos", F.col("dst").alias("val")), 0, 4 + 8 * n, 4, "<u4"))
+    if weighted:
+        out = out.unionByName(_packed(links.select("pos", F.col("w").alias("val")), 1, 0, 4, "<f4"))
+    out.write.parquet(path)
 
 
 def parse_csr(graph: DataFrame) -> DataFrame:
@@ -116,9 +131,34 @@ def parse_csr(graph: DataFrame) -> DataFrame:
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
-    """Half-edges of what `write_csr` wrote."""
-    rows = spark.read.parquet(path)
-    return parse_csr(rows.agg(F.max(F.when(F.col("part") == 0, F.col("data"))).alias("data"), F.max(F.when(F.col("part") == 1, F.col("data"))).alias("weights")))
+    """Half-edges (src, dst, w, null where there are none) of what `write_csr` wrote.
+
+    A task takes a piece of links with its weights, and the stretches of vertices that lie in it.
+    """
+    rows, size = spark.read.schema("part int, at long, data binary").parquet(path), PIECE
+    n = struct.unpack("<I", rows.where("part = 0 and at = 0").first()["data"])[0]
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at, data in zip(pdf["at"], pdf["data"], strict=True):
+                end = np.frombuffer(data, dtype="<u8").astype("int64")
+                yield pd.DataFrame({"src": (at - 4) // 8 + np.arange(len(end)), "hi": end})
+
+    ends = rows.where((F.col("part") == 0) & (F.col("at") > 0) & (F.col("at") < 4 + 8 * n)).select("at", "data").mapInPandas(numbers, "src long, hi long")
+    spans = ends.join(ends.select((F.col("src") + 1).alias("src"), F.col("hi").alias("lo")), "src", "left").withColumn("lo", F.coalesce("lo", F.lit(0))).where("hi > lo")
+    spans = spans.withColumn("piece", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
+    links = rows.where((F.col("part") == 0) & (F.col("at") >= 4 + 8 * n)).select(F.floor((F.col("at") - 4 - 8 * n) / (4 * size)).alias("piece"), "data")
+    weights = rows.where("part = 1").select(F.floor(F.col("at") / (4 * size)).alias("piece"), F.col("data").alias("weights"))
+
+    def run(spans_: pd.DataFrame, links_: pd.DataFrame) -> pd.DataFrame:
+        spans_, row = spans_.sort_values("lo"), links_.iloc[0]
+        first = int(row["piece"]) * size
+        dst = np.frombuffer(row["data"], dtype="<u4").astype("int64")
+        times = np.minimum(spans_["hi"].to_numpy() - first, len(dst)) - np.maximum(spans_["lo"].to_numpy() - first, 0)
+        w = pd.array(np.frombuffer(row["weights"], dtype="<f4"), dtype="Float32") if row["weights"] is not None else pd.array([None] * len(dst), dtype="Float32")
+        return pd.DataFrame({"src": np.repeat(spans_["src"].to_numpy(), times), "dst": dst, "w": w})
+
+    return spans.groupBy("piece").cogroup(links.join(weights, "piece", "left").groupBy("piece")).applyInPandas(run, "src long, dst long, w float")
 
 
 def read_csr_files(spark: SparkSession, links: str, weights: str | None = None) -> DataFrame:
