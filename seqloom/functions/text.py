@@ -5,12 +5,13 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import neighbours, positions
+from ..operators.ordered import BLOCK, neighbours, positions
 from ..storage import cut
 
 #: Fixed value: white space of tokens.
@@ -173,30 +174,79 @@ def suffix_tree(seq: DataFrame) -> DataFrame:
     return cartesian_tree(shared).select(F.col("pos").alias("node"), "parent", F.col("val").alias("depth"))
 
 
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's nearest smaller elements within it (on the left: or equal), and which of its elements are
+    minima of all before them, or of all after them: other blocks can find only those."""
+    pdf = pdf.sort_values("pos")
+    pos, val = pdf["pos"].tolist(), pdf["val"].tolist()
+    left, right, stack = [-1] * len(pos), [-1] * len(pos), []
+    for i, v in enumerate(val):
+        while stack and val[stack[-1]] > v:
+            right[stack.pop()] = i
+        left[i] = stack[-1] if stack else -1
+        stack.append(i)
+    pos, val, left, right = pdf["pos"].to_numpy(), pdf["val"].to_numpy(), np.array(left), np.array(right)
+    last = np.ones(len(pos), dtype=bool)
+    last[:-1] = val[:-1] < np.minimum.accumulate(val[::-1])[::-1][1:]
+    out = pd.DataFrame({"block": pdf["block"].to_numpy(), "pos": pos, "val": val})
+    for side, at in (("l", left), ("r", right)):
+        out[side], out[f"{side}val"] = pd.array(np.where(at < 0, 0, pos[at]), dtype="Int64"), pd.array(np.where(at < 0, 0, val[at]), dtype="Int64")
+        out.loc[at < 0, [side, f"{side}val"]] = pd.NA
+    out["first"], out["last"] = left < 0, last
+    # an equal element on the left is the parent, whatever is on the right
+    out["asks"] = (left < 0) | ((right < 0) & (val[left] < val))
+    return out
+
+
+def _nearest(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """For the elements that ask a block on one side, the nearest of its minima that is smaller."""
+    if not len(own) or not len(found):
+        return pd.DataFrame({"pos": [], "side": [], "at": [], "atval": []})
+    found = found.sort_values("pos")
+    val, v = found["val"].to_numpy(), own["val"].to_numpy()
+    k = np.searchsorted(-val, -v, side="right") if own["side"].iloc[0] == "r" else np.searchsorted(val, v, side="right") - 1
+    return pd.DataFrame({"pos": own["pos"].to_numpy(), "side": own["side"].to_numpy(), "at": found["pos"].to_numpy()[k], "atval": val[k]})
+
+
 def cartesian_tree(seq: DataFrame) -> DataFrame:
     """(pos, val, parent): the tree with its minimum on top; the root is its own parent.
 
     The parent is the larger of the nearest values on both sides that are smaller (on
-    the left: or equal); on ties the right one. One task walks the sequence with a stack; what it holds is
-    the stack and the sequence's parents.
+    the left: or equal); on ties the right one. Blocks of consecutive positions are walked with a
+    stack, each by itself. An element without a smaller one in its block finds the next block with
+    one by the blocks' minima (a row for each block), and asks there; no task holds more than a
+    block and as many elements that ask it.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"pos": [], "val": []})]).sort_values("pos")
-        pos, val = pdf["pos"].tolist(), pdf["val"].tolist()
-        parent, stack = list(range(len(pos))), []
-        for i in range(len(pos)):
-            last = None
-            while stack and val[stack[-1]] > val[i]:
-                last = stack.pop()
-            if last is not None:
-                parent[last] = i
-            if stack:
-                parent[i] = stack[-1]
-            stack.append(i)
-        yield pd.DataFrame({"pos": pos, "val": val, "parent": [pos[p] for p in parent]}, columns=["pos", "val", "parent"]).astype("int64")
-
-    return seq.select("pos", F.col("val").cast("long").alias("val")).coalesce(1).mapInPandas(run, "pos long, val long, parent long")
+    own = seq.select(F.floor(F.col("pos") / BLOCK).alias("block"), F.col("pos").cast("long").alias("pos"), F.col("val").cast("long").alias("val"))
+    schema = "block long, pos long, val long, l long, lval long, r long, rval long, first boolean, last boolean, asks boolean"
+    walked = cut(own.groupBy("block").applyInPandas(_walk, schema), "walked")
+    rows = walked.groupBy("block").agg(F.min("val").alias("m")).orderBy("block").collect()
+    blocks, least = np.array([r["block"] for r in rows], dtype=np.int64), np.array([r["m"] for r in rows], dtype=np.int64)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for b, part in pdf.groupby("block"):
+                i = int(np.searchsorted(blocks, b))
+                for side, mins, names in (("l", least[:i][::-1], blocks[:i][::-1]), ("r", least[i + 1 :], blocks[i + 1 :])):
+                    open_ = part[part[side].isna()]
+                    v = open_["val"].to_numpy()
+                    k = np.searchsorted(-np.minimum.accumulate(mins), -v, side="left" if side == "l" else "right") if len(mins) else np.zeros(len(v), dtype=int)
+                    hit = k < len(mins)
+                    yield pd.DataFrame({"block": names[k[hit]] if len(mins) else [], "side": side, "pos": open_["pos"].to_numpy()[hit], "val": v[hit]})
+
+    asked = cut(walked.where("asks").select("block", "pos", "val", "l", "r").mapInPandas(ask, "block long, side string, pos long, val long"), "asked")
+    groups = asked.groupBy("block", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
+    asked = asked.join(groups, ["block", "side"]).withColumn("group", F.pmod(F.xxhash64("pos"), F.col("groups"))).drop("groups")
+    minima = walked.where("first or last").select("block", "pos", "val", F.explode(F.array(F.when(F.col("last"), "l"), F.when(F.col("first"), "r"))).alias("side")).where("side is not null")
+    minima = minima.join(groups, ["block", "side"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
+    key = ["block", "side", "group"]
+    found = asked.groupBy(key).cogroup(minima.groupBy(key)).applyInPandas(_nearest, "pos long, side string, at long, atval long")
+    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    found = found.groupBy("pos").agg(side("l", "at").alias("fl"), side("l", "atval").alias("flval"), side("r", "at").alias("fr"), side("r", "atval").alias("frval"))
+    joined = walked.where("asks").join(found, "pos", "left").select("pos", "val", *(F.coalesce(c, f"f{c}").alias(c) for c in ("l", "lval", "r", "rval")))
+    whole = walked.where("not asks").select(joined.columns).unionByName(joined)
+    right = F.col("r").isNotNull() & (F.col("l").isNull() | (F.col("rval") >= F.col("lval")))
+    return whole.select("pos", "val", F.when(right, F.col("r")).otherwise(F.coalesce("l", "pos")).alias("parent"))
 
 
 def huffman_lengths(weights: DataFrame) -> DataFrame:
