@@ -81,15 +81,15 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, eps:
     """(id, rank) on the directed graph, and the iterations taken.
 
     The mass of vertices without out-edges is spread over all. It stops when the sum
-    of changes is below ``eps``; iterations is max_iterations + 1 if it never is.
+    of changes is below ``eps``; iterations is max_iterations + 1 if it never is. Ids are integers.
     """
     n = vertices.count()
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
-    links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")), "links")
+    links = tiles(edges.select(F.col("dst").alias("row"), F.col("src").alias("col")))
     state = cut(vertices.select("id").join(out, "id", "left").withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("diff", F.lit(0.0)), "ranks")
     for i in range(1, max_iterations + 1):
         dangling = state.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0))).first()[0]
-        sent = links.join(state.where("out is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("s")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("s") * F.col("k")).alias("got"))
+        sent = apply_tiles(links, state.where("out is not null").select(F.col("id").alias("pos"), (F.col("rank") / F.col("out")).alias("val"))).select(F.col("pos").alias("id"), F.col("val").alias("got"))
         base = (1 - damping) / n + damping * dangling / n
         new = base + damping * F.coalesce("got", F.lit(0.0))
         state = cut(state.join(sent, "id", "left").select("id", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("diff")), "ranks")
