@@ -1,7 +1,8 @@
 """Ordered speculation: items reserve resources by priority, winners commit, losers go on.
 
-What comes out is what trying the items one by one in order of (priority, item) gives,
-in as many rounds as the longest chain of items that wait for each other.
+What comes out is what trying the items one by one in order of (priority, item) gives. `speculate`
+takes as many rounds as the longest chain of items that wait for each other, `reserve` as many as
+the claims have prefixes of bounded size.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut, shared_path
+from .prefixes import PREFIX, in_order
 from .structure import components
 
 
@@ -52,21 +54,13 @@ def speculate(claims_of: Callable[[], DataFrame], commit: Callable[[DataFrame, D
     return Speculated(spark.read.schema(schema).parquet(path), rounds)
 
 
-def reserve(claims: DataFrame) -> Speculated:
+def reserve(claims: DataFrame, prefix: int = PREFIX) -> Speculated:
     """The items that commit, of (item, priority, resource, needs, takes): in order, an item
     commits if nothing that it needs is taken, and takes what it takes.
 
-    An item that can no longer commit leaves with its claims, so rounds get ever smaller.
+    A round is a prefix of the order, of about ``prefix`` claims.
     """
-    state = {"claims": cut(claims.select("item", "priority", "resource", "needs", "takes"), "claims")}
-
-    def commit(winners: DataFrame, now: DataFrame) -> None:
-        mine = F.struct("priority", "item")
-        taken = now.where("takes").join(winners.select("item"), "item", "left_semi").groupBy("resource").agg(F.min(mine).alias("by"))
-        lost = now.where("needs").join(taken, "resource").where(F.col("by") < mine).select("item")  # who is tried before it still finds it free
-        state["claims"] = cut(now.join(lost.unionByName(winners.select("item")).distinct(), "item", "left_anti"), "claims")
-
-    return speculate(lambda: state["claims"], commit)
+    return Speculated(*in_order(claims, prefix))
 
 
 def matching(edges: DataFrame) -> Speculated:
