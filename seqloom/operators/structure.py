@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..iterate import fixpoint
 from ..storage import cut, shared_path
 from .graphs import symmetrize, undirected
+from .prefixes import in_order
 from .traversal import bfs
 
 
@@ -101,21 +102,11 @@ def independent_set(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def matching(edges: DataFrame) -> DataFrame:
-    """The edges (eid, src, dst) of the greedy matching in order of eid.
-
-    A round takes the edges that are the least open ones at both ends.
-    """
-    open_ = cut(edges.where("src <> dst").select("eid", "src", "dst"), "open")
-    chosen = open_.limit(0)
-    while not open_.isEmpty():
-        ends = open_.select("eid", F.explode(F.array("src", "dst")).alias("v"))
-        least = ends.groupBy("v").agg(F.min("eid").alias("eid"))
-        both = least.groupBy("eid").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-        new = cut(open_.join(both.select("eid"), "eid", "left_semi"), "new")
-        gone = new.select(F.explode(F.array("src", "dst")).alias("v"))
-        chosen = chosen.unionByName(new)
-        open_ = cut(open_.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti").select("eid", "src", "dst"), "open")
-    return chosen
+    """The edges (eid, src, dst) of the greedy matching in order of eid, by prefixes."""
+    own = edges.where("src <> dst").select("eid", "src", "dst")
+    ends = own.select(F.col("eid").alias("item"), F.col("eid").alias("priority"), F.explode(F.array("src", "dst")).alias("resource"))
+    chosen = in_order(ends.withColumns({"needs": F.lit(True), "takes": F.lit(True)}))[0]
+    return own.join(chosen.select(F.col("item").alias("eid")).hint("merge"), "eid", "left_semi")
 
 
 def colouring(vertices: DataFrame, edges: DataFrame) -> DataFrame:
