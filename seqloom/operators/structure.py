@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..iterate import fixpoint
 from ..storage import cut, shared_path
 from .graphs import symmetrize, undirected
-from .prefixes import in_order
+from .prefixes import first_free, in_order
 from .traversal import bfs
 
 
@@ -111,22 +111,8 @@ def matching(edges: DataFrame) -> DataFrame:
 
 def colouring(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, colour): greedy by falling degree (ties by id), each the smallest colour that
-    no neighbour before it has."""
-    both = cut(symmetrize(edges), "both")
-    d = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-    ranked = cut(vertices.select("id").join(d, "id", "left").select("id", F.struct(-F.coalesce("d", F.lit(0)), "id").alias("r")), "ranked")
-    before = both.join(ranked.select(F.col("id").alias("src"), F.col("r").alias("rs")), "src").join(ranked.select(F.col("id").alias("dst"), F.col("r").alias("rd")), "dst")
-    before = cut(before.where(F.col("rs").cast("string").isNotNull() & (F.col("rs") < F.col("rd"))).select("src", "dst"), "before")
-    state = vertices.select("id", F.lit(None).cast("int").alias("colour"), F.lit(True).alias("changed"))
-
-    def step(now: DataFrame, _: int) -> DataFrame:
-        seen = before.join(now.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("id")).agg(F.collect_set("c").alias("used"), F.count_if(F.col("c").isNull()).alias("open"))
-        used = F.coalesce("used", F.array().cast("array<int>"))
-        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
-        new = F.when(F.col("colour").isNotNull(), F.col("colour")).when(F.coalesce("open", F.lit(0)) == 0, free)
-        return now.join(seen, "id", "left").select("id", new.alias("colour"), (F.col("colour").isNull() & new.isNotNull()).alias("changed"))
-
-    return fixpoint(state, step, "changed")[0].drop("changed")
+    no neighbour before it has; by prefixes."""
+    return first_free(vertices, edges)
 
 
 def set_cover(sets: DataFrame) -> DataFrame:
