@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_path
 from .frontier import blocks, tested, words
-from .structure import components, minimum_forest
+from .structure import merge_least
 
 
 @dataclass
@@ -60,14 +60,12 @@ def filtered_forest(vertices: DataFrame, edges: DataFrame, share: float = 1.5, l
         solved = light.count() if heavy is not None else m
         a, b = (labels.select(F.col("id").alias(e), F.col("comp").alias(f"c_{e}")) for e in ("src", "dst"))
         joined = cut(light.join(a, "src").join(b, "dst").where("c_src <> c_dst"), "light")
-        comps = labels.select(F.col("comp").alias("id")).distinct()
-        chosen = cut(minimum_forest(comps, joined.select("eid", F.col("c_src").alias("src"), F.col("c_dst").alias("dst"), "w")), "chosen")
+        chosen, roots = merge_least(joined.select("eid", F.col("c_src").alias("ca"), F.col("c_dst").alias("cb"), "w"))
         joined.join(chosen.select("eid"), "eid", "left_semi").select("eid", "src", "dst", "w").write.mode("append").parquet(path)
         if heavy is None:
             out.passes.append((solved, 0, 0))
             break
-        merged = components(comps, chosen.select("src", "dst"))
-        labels = cut(labels.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("c")), "comp").select("id", F.col("c").alias("comp")), "labels")
+        labels = cut(labels.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels")
         giant = labels.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
         map_ = blocks(words(labels.where(F.col("comp") == giant).select("id")))
         kept = cut(_outside(heavy, map_), "outside")

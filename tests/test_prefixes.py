@@ -42,3 +42,30 @@ def test_colours_of_several_prefixes(spark):
         assert {r["id"]: r["colour"] for r in prefixes.first_free(spark.range(260), edges, size).collect()} == colour
     assert {r["colour"] for r in prefixes.first_free(spark.range(5), edges.limit(0)).collect()} == {0}
     assert prefixes.first_free(spark.range(0), edges).count() == 0
+
+
+def test_forest_of_a_path_needs_few_jobs_and_rounds_give_the_same(spark):
+    from seqloom.operators import forests, structure
+
+    def jobs():
+        return spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+
+    rng = random.Random(5)
+    edges = [(i, i, i + 1, i % 7) for i in range(400)] + [(400 + i, *rng.sample(range(500), 2), rng.randrange(50)) for i in range(900)]
+    df, up, true = spark.createDataFrame(edges, "eid long, src long, dst long, w long"), list(range(500)), set()
+    for w, e, a, b in sorted((w, e, a, b) for e, a, b, w in edges):
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        if a != b:
+            up[b] = a
+            true.add(e)
+    links = df.select("eid", "src", "dst", "w").withColumnsRenamed({"src": "ca", "dst": "cb"})
+    for last in (0, 50, 10_000):
+        eids, roots = structure.merge_least(links, last)
+        assert {r["eid"] for r in eids.collect()} == true
+        assert roots.select("root").distinct().count() == roots.count() - len(true)
+    before = jobs()
+    assert {r["eid"] for r in forests.filtered_forest(spark.range(500), df).forest.collect()} == true
+    assert jobs() - before < 60  # it took several times as many
