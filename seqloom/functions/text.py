@@ -111,15 +111,59 @@ def suffix_array(seq: DataFrame) -> DataFrame:
     """(rank, pos): the suffixes of a sequence (pos, val) in order, by prefix doubling.
 
     A round ranks positions by the pair of ranks of the two halves; it takes log2 of
-    the longest repeat in rounds.
+    the longest repeat in rounds, less those that packed values save (see `_levels`).
     """
-    state = cut(dense_rank(seq.select("pos", F.struct("val").alias("key"))), "ranks")
-    n, step = seq.count(), 1
-    while state.select("rank").distinct().count() < n:
+    return _levels(seq)[0][-1][1].select("rank", "pos")
+
+
+def _levels(seq: DataFrame) -> tuple[list[tuple[int, DataFrame]], DataFrame | None, int, int]:
+    """The rounds of prefix doubling, as (size, (pos, rank) by the next ``size`` values), the last with all
+    ranks different; packed words (pos, hi, lo), the bits of a value in them and the values of each.
+
+    With few different values the first round packs a power of two of them into each of two words.
+    Where two positions of a level have one rank, as many values follow both: what ends before has a
+    length, so a rank, of its own.
+    """
+    n, state, step = seq.count(), cut(dense_rank(seq.select("pos", F.struct("val").alias("key"))), "ranks"), 1
+    top = lambda df: (df.agg(F.max("rank")).first()[0] or 0) + 1
+    found = top(state)
+    bits = found.bit_length()
+    width, words = 1 << (62 // bits).bit_length() - 1, None
+    if width > 1 and n > 1:
+        words, step = cut(_words(state, bits, width), "words"), 2 * width
+        state = cut(dense_rank(words.select("pos", F.struct("hi", "lo").alias("key"))), "ranks")
+        found = top(state)
+    levels = [(step, state)]
+    while found < n:
         right = state.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("r2"))
         pairs = state.join(right, "pos", "left").select("pos", F.struct("rank", F.coalesce("r2", F.lit(-1)).alias("r2")).alias("key"))
         state, step = cut(dense_rank(pairs), "ranks"), step * 2
-    return state.select("rank", "pos")
+        found = top(state)
+        levels.append((step, state))
+    return levels, words, bits, width
+
+
+def _words(ranked: DataFrame, bits: int, width: int) -> DataFrame:
+    """(pos, hi, lo): the next ``width`` ranks (each and one) and as many after them, packed; 0 after the end.
+
+    Blocks of positions are packed by themselves, with the values that follow them.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        base = int(pdf["block"].iloc[0]) * BLOCK
+        code = np.zeros(BLOCK + 2 * width, dtype=np.int64)
+        at = pdf["pos"].to_numpy() - base
+        code[at] = pdf["rank"].to_numpy() + 1
+        word = np.zeros(BLOCK + width, dtype=np.int64)
+        for k in range(width):
+            word = (word << bits) | code[k : k + BLOCK + width]
+        at = np.sort(at[at < BLOCK])
+        return pd.DataFrame({"pos": at + base, "hi": word[at], "lo": word[at + width]})
+
+    block = F.floor(F.col("pos") / BLOCK)
+    near = F.array(block, F.floor((F.col("pos") - 2 * width + 1) / BLOCK))  # the block before needs a block's first values
+    rows = ranked.select("pos", "rank", F.explode(F.array_distinct(near)).alias("block")).where("block >= 0")
+    return rows.groupBy("block").applyInPandas(run, "pos long, hi long, lo long")
 
 
 def dense_rank(keyed: DataFrame) -> DataFrame:
@@ -128,35 +172,36 @@ def dense_rank(keyed: DataFrame) -> DataFrame:
     return keyed.join(ranks, "key").select("pos", "rank")
 
 
-def lcp(seq: DataFrame, suffixes: DataFrame) -> DataFrame:
+def lcp(seq: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(rank, pos, prev, lcp): for each suffix but the first, the length it shares with the one before.
 
-    Lengths grow by doubling: blocks of 2^k elements have ranks, and equal ranks mean
-    equal blocks; from the longest blocks down a pair takes those that agree.
+    The rounds of prefix doubling have ranks of blocks, and equal ranks mean equal blocks;
+    from the longest blocks down a pair takes those that agree, and the rest of it from packed words.
+    ``suffixes`` (rank, pos) are those of the last round, if not given.
     """
-    own = neighbours(suffixes.select(F.col("rank").alias("pos"), F.col("pos").alias("val")), "val").where("prev_val is not null")
+    levels, words, bits, width = _levels(seq)
+    own = neighbours((levels[-1][1] if suffixes is None else suffixes).select(F.col("rank").alias("pos"), F.col("pos").alias("val")), "val").where("prev_val is not null")
     pairs = cut(own.select(F.col("pos").alias("rank"), F.col("val").alias("a"), F.col("prev_val").alias("b"), F.lit(0).cast("long").alias("lcp")), "lcp")
-    n, levels, size = seq.count(), [cut(dense_rank(seq.select("pos", F.struct("val").alias("key"))), "blocks")], 1
-    while size * 2 <= n:
-        right = levels[-1].select((F.col("pos") - size).alias("pos"), F.col("rank").alias("r2"))
-        nxt = cut(dense_rank(levels[-1].join(right, "pos").select("pos", F.struct("rank", "r2").alias("key"))), "blocks")
-        if nxt.select("rank").distinct().count() == nxt.count():
-            break  # no block of this size repeats
-        levels.append(nxt)
-        size *= 2
-    for k in range(len(levels) - 1, -1, -1):
-        ranks = levels[k]
-        left = ranks.select((F.col("pos")).alias("pa"), F.col("rank").alias("ra"))
-        right = ranks.select((F.col("pos")).alias("pb"), F.col("rank").alias("rb"))
+
+    def grown(x: DataFrame, more) -> DataFrame:
+        cols = [c for c in x.columns if c != "pos"]
+        left, right = (x.select(F.col("pos").alias(f"p{e}"), *(F.col(c).alias(f"{e}_{c}") for c in cols)) for e in ("a", "b"))
         got = pairs.withColumns({"pa": F.col("a") + F.col("lcp"), "pb": F.col("b") + F.col("lcp")}).join(left, "pa", "left").join(right, "pb", "left")
-        pairs = cut(got.select("rank", "a", "b", (F.col("lcp") + F.when(F.col("ra") == F.col("rb"), 1 << k).otherwise(0)).alias("lcp")), "lcp")
+        return cut(got.select("rank", "a", "b", (F.col("lcp") + F.coalesce(more, F.lit(0))).alias("lcp")), "lcp")
+
+    for size, ranks in levels[-2::-1]:
+        pairs = grown(ranks, F.when(F.col("a_rank") == F.col("b_rank"), size))
+    if words is not None:
+        same = lambda c: width - F.ceil(F.length(F.bin(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))) / bits)
+        rest = F.when(F.col("a_hi") != F.col("b_hi"), same("hi")).when(F.col("a_lo") != F.col("b_lo"), width + same("lo"))
+        pairs = grown(words, rest)
     return pairs.select("rank", F.col("a").alias("pos"), F.col("b").alias("prev"), "lcp")
 
 
 def longest_repeat(seq: DataFrame) -> DataFrame:
     """One row: length, and the two starts, of the longest repeated run of elements (of
     several the first in suffix order)."""
-    shared = lcp(seq, suffix_array(seq))
+    shared = lcp(seq)
     return shared.agg(F.max_by(F.struct("lcp", "prev", "pos"), F.struct("lcp", -F.col("rank"))).alias("m")).select(F.col("m.lcp").alias("length"), F.least("m.prev", "m.pos").alias("first"), F.greatest("m.prev", "m.pos").alias("second"))
 
 
@@ -170,7 +215,7 @@ def contains(seq: DataFrame, pattern: DataFrame) -> DataFrame:
 def suffix_tree(seq: DataFrame) -> DataFrame:
     """(node, parent, depth) of the inner nodes of the suffix tree, by the Cartesian tree
     of the lengths that neighbours share; nodes with their parent's depth are one."""
-    shared = lcp(seq, suffix_array(seq)).select(F.col("rank").alias("pos"), F.col("lcp").alias("val"))
+    shared = lcp(seq).select(F.col("rank").alias("pos"), F.col("lcp").alias("val"))
     return cartesian_tree(shared).select(F.col("pos").alias("node"), "parent", F.col("val").alias("depth"))
 
 

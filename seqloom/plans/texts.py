@@ -90,8 +90,7 @@ _LCP = SEQ.rstrip() + """, x AS MATERIALIZED (SELECT string_agg(kind[1], '' ORDE
 
 @query("longest_common_prefixes", _LCP + "SELECT rank, pos, prev, lcp FROM l")
 def _(spark, d):
-    s = _codes(spark, d)
-    return text.lcp(s, text.suffix_array(s))
+    return text.lcp(_codes(spark, d))
 
 
 @query("longest_repeated_run", _LCP + "SELECT lcp AS length, least(pos, prev) AS first, greatest(pos, prev) AS second FROM l ORDER BY lcp DESC, rank LIMIT 1")
