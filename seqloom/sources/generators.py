@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,18 +76,58 @@ def edge_weight(seed: int, low: float = 0.1, high: float = 1.0) -> Column:
 
 def barabasi_albert(spark: SparkSession, n: int, m0: int, m: int, seed: int = 1) -> DataFrame:
     """Edges of a graph grown from a complete one of ``m0``: each new vertex takes ``m``
-    different vertices in proportion to degree. It grows by nature one vertex at a time,
-    on the driver."""
-    rng = np.random.default_rng(seed)
-    edges = [(i, j) for i in range(m0) for j in range(i)]
-    ends = [x for e in edges for x in e] or [0]
-    for v in range(m0, n):
-        chosen: set[int] = set()
-        while len(chosen) < min(m, v):
-            chosen.add(int(ends[rng.integers(len(ends))]))
-        edges += [(v, u) for u in sorted(chosen)]
-        ends += [x for u in sorted(chosen) for x in (v, u)]
-    return spark.createDataFrame(edges, "src long, dst long")
+    different vertices in proportion to degree (all there are, while these are no more).
+
+    To draw in proportion to degree is to draw an end of the edges before. Which end follows
+    from a hash, so a task finds the ends of its vertices alone: an end that was drawn itself is
+    drawn again, over about log n vertices before it.
+    """
+    base = m0 if n <= m0 or m < 1 else min(n, max(m0, m + 1))
+    first = [(i, j) for i in range(base) for j in range(i)]
+    whole = spark.createDataFrame(first, "src long, dst long")
+    if m < 1 or n <= base:
+        return whole
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn: dict[int, list[int]] = {}
+        for pdf in batches:
+            ids = pdf["id"].tolist()
+            out = [sorted(_drawn_ends(v, m, m, base, first, seed, drawn)) for v in ids]
+            yield pd.DataFrame({"src": np.repeat(np.array(ids, dtype=np.int64), m), "dst": np.array(out, dtype=np.int64).reshape(-1)})
+            if len(drawn) > 200_000:
+                drawn.clear()
+
+    return whole.unionByName(spark.range(base, n).mapInPandas(run, "src long, dst long"))
+
+
+def _drawn_ends(v: int, k: int, m: int, base: int, first: list[tuple[int, int]], seed: int, drawn: dict[int, list[int]]) -> list[int]:
+    """The first ``k`` different vertices that ``v`` draws; ``drawn`` remembers them."""
+    got = drawn.get(v, [])
+    if len(got) >= k:
+        return got[:k]
+    got, t, inner = [], 0, 2 * len(first)
+    key, ends = _mix(v + seed * 0x9E3779B97F4A7C15), inner + 2 * (v - base) * m
+    while len(got) < k:
+        r, t = _mix(key + t) % ends, t + 1
+        if r < inner:
+            u = first[r // 2][r % 2]
+        else:
+            e = (r - inner) // 2
+            u = base + e // m  # who made the edge, or whom it drew
+            if r % 2:
+                u = _drawn_ends(u, e % m + 1, m, base, first, seed, drawn)[e % m]
+        if u not in got:
+            got.append(u)
+    drawn[v] = got
+    return got
+
+
+def _mix(x: int) -> int:
+    """64 mixed bits of an integer."""
+    x = (x + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 31
 
 
 def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, closed: bool = False, seed: int = 1) -> DataFrame:
