@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,28 +44,35 @@ def uniform_digraph(spark: SparkSession, n: int, degree: float, seed: int = 1) -
     Gaps between the pairs drawn are geometric, so only drawn pairs are made: each
     source draws its targets by skipping.
     """
-    p = min(1.0, degree / max(n, 1))
-    return spark.range(n).select(F.col("id").alias("src"), F.explode(_skips(n, p, seed)).alias("dst"))
+    return _skips(spark, n, min(1.0, degree / max(n, 1)), seed)
 
 
-def _skips(n: int, p: float, seed: int) -> Column:
-    """Array of the numbers below ``n`` drawn with probability ``p`` for the row's id."""
+def _skips(spark: SparkSession, n: int, p: float, seed: int) -> DataFrame:
+    """(src, dst) below ``n``, each pair drawn with probability ``p``. Gaps are added up by batches."""
+    ids = spark.range(n).select("id")
     if p >= 1:
-        return F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")
+        return ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("dst"))
     if p <= 0:
-        return F.array().cast("array<bigint>")
+        return ids.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
     most = int(n * p + 12 * math.sqrt(n * p) + 24)
     gap = lambda i: F.floor(F.log(1 - _unit(seed, "id", i)) / math.log(1 - p)).cast("bigint") + 1
-    start = F.struct(F.lit(-1).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, i: F.struct((acc["at"] + gap(i)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + gap(i))).alias("out"))
-    return F.filter(F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, step)["out"], lambda x: x < n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            at = np.cumsum(rows["gaps"].flatten().to_numpy().reshape(rows.num_rows, -1), axis=1) - 1
+            drawn = at < n
+            src = np.repeat(rows["id"].to_numpy(), drawn.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(at[drawn])], names=["src", "dst"])
+
+    gaps = ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(most)), gap).alias("gaps"))
+    return gaps.mapInArrow(run, "src long, dst long")
 
 
 def block_model(spark: SparkSession, n: int, k: int, p_in: float, p_out: float, seed: int = 1) -> DataFrame:
     """Edges (src < dst, w in [0.1, 1)) of ``n`` vertices in ``k`` blocks (id mod k), with
     probability p_in within a block and p_out between."""
     top = max(p_in, p_out)
-    drawn = spark.range(n).select(F.col("id").alias("src"), F.explode(_skips(n, top, seed)).alias("dst")).where("src < dst")
+    drawn = _skips(spark, n, top, seed).where("src < dst")
     p = F.when(F.col("src") % k == F.col("dst") % k, p_in).otherwise(p_out)
     return drawn.where(_unit(seed + 1, "src", "dst") < p / top).select("src", "dst", edge_weight(seed + 2).alias("w"))
 
