@@ -146,7 +146,7 @@ def _step(rows: DataFrame, at: str, inner: list[dict], features: list[str], stay
     branches = [(n["id"], features.index(n["feature"]), n["cut"], None if v is None else int(v), c) for n in inner for v, c in n["children"].items()]
     table = spark.createDataFrame(branches, "_n int, _f int, _cut long, _v long, _child int")  # a row for each branch of a level
     of = table.groupBy("_n").agg(F.first("_f").alias("_f"), F.first("_cut").alias("_cut"))
-    value = F.array(*(F.col(c).cast("long") for c in features))[F.col("_f")]
+    value = F.get(F.array(*(F.col(c).cast("long") for c in features)), F.col("_f"))  # null at leaves; [] reads place -1 there if no feature can be null
     own = rows.join(F.broadcast(of), F.col(at) == F.col("_n"), "left").withColumn("_x", value)
     own = own.withColumn("_x", F.when(F.col("_cut").isNull(), F.col("_x")).otherwise((F.col("_x") >= F.col("_cut")).cast("long"))).drop("_n", "_f", "_cut")
     to = F.broadcast(table.select(F.col("_n"), "_v", "_child"))

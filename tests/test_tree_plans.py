@@ -31,3 +31,13 @@ def test_tree_is_what_it_classifies(spark):
     nodes = learning.decision_tree(rows, {"a": "d", "b": "i"}, "y", max_depth=4)
     assert len(nodes) > 40
     assert all(r["predicted"] == _walk(nodes, r) for r in learning.classify(rows, nodes).collect())
+
+
+def test_classify_features_that_cannot_be_null(spark):
+    """Leaves beside a node that splits again have no feature to look at; as arrays of no nulls were read there, place -1 was asked for."""
+    nodes = [{"id": 0, "depth": 0, "label": 0, "feature": "a", "cut": 4, "children": {0: 1, 1: 2}}, {"id": 1, "depth": 1, "label": 5}, {"id": 2, "depth": 1, "label": 6, "feature": "b", "cut": None, "children": {0: 3, 1: 4}}]
+    nodes += [{"id": i, "depth": 2, "label": 7 + i} for i in (3, 4)]
+    rows = spark.range(60).select("id", F.least(F.col("id") % 8, F.lit(255)).alias("a"), F.least(F.col("id") % 3, F.lit(255)).alias("b"))
+    assert not rows.schema["a"].nullable
+    got = learning.classify(rows, nodes).collect()
+    assert len(got) == 60 and all(r["predicted"] == _walk(nodes, r) for r in got)
