@@ -318,8 +318,16 @@ def read_char_folders(spark: SparkSession, path: str, key: str, value: str) -> D
 
 
 def read_commented_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated rows with a header; lines that begin with # are comments."""
-    return spark.read.csv(path, sep="\t", comment="#", header=True, schema=schema)
+    """Tab-separated rows with a header; lines that begin with # are comments.
+
+    Files of a folder follow each other by name, and the header is the first line of all of them that is
+    neither blank nor a comment. A task keeps the first such line of each split that it reads."""
+    kept = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_m"), "value")
+    kept = kept.where("trim(value) <> '' and not startswith(value, '#')")
+    placed = cut(kept, "lines")
+    head = placed.groupBy("_file", "_start").agg(F.min("_m").alias("_m")).orderBy("_file", "_start").limit(1)  # one row
+    rows = placed.join(F.broadcast(head), ["_file", "_start", "_m"], "left_anti")
+    return rows.select(F.from_csv("value", schema, {"sep": "\t"}).alias("r")).select("r.*")
 
 
 def scrape(lines: DataFrame, pattern: str, name: str) -> DataFrame:
