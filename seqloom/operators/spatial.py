@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .mesh import triangulate
 
 AXES = ("x", "y", "z")
 #: Cells along each axis in which `ray_cast` gathers triangles, and how many of these, and of rays, it pairs at a time.
@@ -255,40 +256,19 @@ def _small_lp(rows: list[tuple[float, float, float]], cx: float, cy: float, box:
 
 
 def delaunay(points: DataFrame) -> DataFrame:
-    """(a, b, c): the triangles of the Delaunay triangulation, ids rising.
+    """(a, b, c): the triangles of the Delaunay triangulation, ids rising, those on the hull included.
 
-    Points are inserted one by one in one task (a mesh has no parts to give away), so
-    it is for point sets that one executor holds.
+    Points are inserted one by one in one task (a mesh has no parts to give away), each beside the one
+    before, so it is for point sets that one executor holds: about 200 bytes a point. Of points of one
+    place the smallest id counts; those without finite coordinates are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"id": [], "x": [], "y": []})]).sort_values("id").drop_duplicates(["x", "y"])
-        yield pd.DataFrame(_delaunay(pdf["id"].tolist(), pdf["x"].tolist(), pdf["y"].tolist()), columns=["a", "b", "c"], dtype="int64")
+        pdf = pd.concat(list(batches) or [pd.DataFrame({"id": [], "x": [], "y": []})])
+        pdf = pdf[np.isfinite(pdf["x"]) & np.isfinite(pdf["y"])].sort_values("id").drop_duplicates(["x", "y"])
+        ids = pdf["id"].to_numpy().astype(np.int64)
+        mesh = np.sort(ids[triangulate(pdf["x"].to_numpy(), pdf["y"].to_numpy())], axis=1)
+        yield pd.DataFrame(mesh[np.lexsort(mesh.T[::-1])], columns=["a", "b", "c"])
 
     own = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return own.coalesce(1).mapInPandas(run, "a long, b long, c long")
-
-
-def _delaunay(ids: list[int], xs: list[float], ys: list[float]) -> list[tuple[int, int, int]]:
-    if len(ids) < 3:
-        return []
-    mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
-    far = 1e4 * (max(max(xs) - min(xs), max(ys) - min(ys)) or 1.0)
-    x, y = [*xs, mx - far, mx + far, mx], [*ys, my - far, my - far, my + far]
-    n = len(xs)
-    mesh = {(n, n + 1, n + 2)}
-
-    def inside(t: tuple[int, int, int], i: int) -> bool:
-        (ax, ay), (bx, by), (cx, cy) = ((x[k] - x[i], y[k] - y[i]) for k in t)
-        det = (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay)
-        return det > 0
-
-    for i in range(n):
-        bad = [t for t in mesh if inside(t, i)]
-        rim: set[tuple[int, int]] = set()
-        for a, b, c in bad:
-            for e in ((a, b), (b, c), (c, a)):
-                rim.symmetric_difference_update({e} if (e[1], e[0]) not in rim else {(e[1], e[0])})
-        mesh.difference_update(bad)
-        mesh.update((a, b, i) for a, b in rim)
-    return sorted(tuple(sorted(ids[k] for k in t)) for t in mesh if max(t) < n)
+    return own.repartition(1).mapInPandas(run, "a long, b long, c long")
