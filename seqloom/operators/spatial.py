@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from .mesh import triangulate
 AXES = ("x", "y", "z")
 #: Cells along each axis in which `ray_cast` gathers triangles, and how many of these, and of rays, it pairs at a time.
 CELLS, BLOCK = 8, 4_096
+#: Bodies, and others, between which `total_forces` takes all steps at once.
+TILE = 64, 1_024
 
 
 def radius_pairs(points: DataFrame, r: float, axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -189,33 +192,63 @@ def upper_hull(points: DataFrame) -> DataFrame:
     return few.coalesce(1).mapInPandas(run, schema).orderBy("x")
 
 
-def total_forces(bodies: DataFrame, block: int = 512, unit: float | None = None) -> DataFrame:
+def _forces(a: np.ndarray, b: np.ndarray, mass: np.ndarray, unit: float | None) -> np.ndarray:
+    """Sums of what the bodies ``b`` (a row for each axis) do to each of ``a``, tile by tile, so that all steps stay in the cache."""
+    out = np.zeros((3, a.shape[1]), dtype=float if unit is None else np.int64)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for v in range(0, b.shape[1], TILE[1]):
+            own, m = b[:, None, v : v + TILE[1]], mass[None, v : v + TILE[1]]
+            heaviest = np.abs(m).max()
+            for u in range(0, a.shape[1], TILE[0]):
+                at = slice(u, u + TILE[0])
+                d = [own[i] - a[i, at, None] for i in range(3)]
+                r2 = d[0] * d[0]
+                r2 += d[1] * d[1]
+                r2 += d[2] * d[2]
+                nearest, cube = r2.min(), np.sqrt(r2)
+                cube *= r2
+                for i in range(3):
+                    f = d[i]
+                    f *= m
+                    f /= cube
+                    if not nearest > 0:  # one place, or no number
+                        f[~(r2 > 0)] = 0.0
+                    if unit is None:
+                        out[i, at] += f.sum(axis=1)
+                        continue
+                    f /= unit
+                    f += 0.5
+                    np.floor(f, out=f)
+                    # whole numbers: their sums are exact as doubles up to 2 ** 53
+                    small = nearest > 0 and (heaviest / nearest / unit + 1) * f.shape[1] < 2.0**53
+                    out[i, at] += f.sum(axis=1).astype(np.int64) if small else f.astype(np.int64).sum(axis=1)
+    return out
+
+
+def total_forces(bodies: DataFrame, block: int | None = None, unit: float | None = None) -> DataFrame:
     """(id, fx, fy, fz): the exact sum over all other bodies (id, x, y, z, mass) of
-    mass * d / |d|^3. Bodies meet block by block, and sums, not pairs, leave a block.
+    mass * d / |d|^3. Bodies meet block by block, and sums, not pairs, leave a block. Without ``block``
+    there are at least 16 blocks, of at most 32,768 bodies, so each body is copied twice for each 32,768.
 
     With ``unit`` every pair's force is rounded to whole units and sums are longs of these,
     which no order of adding changes."""
     own = cut(bodies.select("id", *(F.col(c).cast("double").alias(c) for c in (*AXES, "mass"))), "bodies")
-    blocks = max(1, -(-own.count() // block))
+    n = own.count()
+    blocks = max(1, -(-n // (block or min(32_768, max(512, n // 16)))))
     spot = F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))  # of the type of spot: sides meet by the hash of (b, p)
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000, n * n // 50_000_000))  # given, as the rows are few for the work they are
     side = own.withColumn("b", spot)
-    left = side.withColumn("p", every)
-    right = side.withColumnRenamed("b", "p").withColumn("b", every)
+    left = side.withColumn("p", every).repartition(tasks, "b", "p")
+    right = side.withColumnRenamed("b", "p").withColumn("b", every).repartition(tasks, "b", "p")
     kind = "double" if unit is None else "long"
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((len(a), 3), dtype=float if unit is None else np.int64)
-        if len(a) and len(b):
-            d = b[list(AXES)].to_numpy()[None, :, :] - a[list(AXES)].to_numpy()[:, None, :]
-            r2 = (d**2).sum(axis=2)
-            apart = (r2 > 0)[:, :, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                f = np.where(apart, b["mass"].to_numpy()[None, :, None] * d / (r2 * np.sqrt(r2))[:, :, None], 0.0)
-            out = (f if unit is None else np.floor(f / unit + 0.5).astype(np.int64)).sum(axis=1)
-        return pd.DataFrame({"id": a["id"].to_numpy() if len(a) else [], "fx": out[:, 0], "fy": out[:, 1], "fz": out[:, 2]})
-
-    parts = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(run, f"id long, fx {kind}, fy {kind}, fz {kind}")
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        at = lambda t, c: t[c].fill_null(float("nan")).to_numpy()
+        out = _forces(np.stack([at(a, c) for c in AXES]), np.stack([at(b, c) for c in AXES]), at(b, "mass"), unit)
+        return pa.table({"id": a["id"], **{f"f{c}": pa.array(x) for c, x in zip(AXES, out)}})
+
+    parts = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(run, f"id long, fx {kind}, fy {kind}, fz {kind}")
     return parts.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("fx", "fy", "fz")))
 
 
