@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from ..storage import cut
 from .mesh import triangulate
 
 AXES = ("x", "y", "z")
-#: Cells along each axis in which `ray_cast` gathers triangles, and how many of these, and of rays, it pairs at a time.
-CELLS, BLOCK = 8, 4_096
+#: Cells along each axis, at most, in which `ray_cast` gathers triangles, and how many of these, and of rays, a task pairs; of
+#: which so many at once.
+CELLS, BLOCK, PAIRS = 8, 8_192, (64, 1_024)
 #: Bodies, and others, between which `total_forces` takes all steps at once.
 TILE = 64, 1_024
 
@@ -95,23 +97,62 @@ def box_overlaps(boxes: DataFrame, cell: float, axes: tuple[str, ...] = AXES) ->
 
 
 def _first_hits(rays: pd.DataFrame, tris: pd.DataFrame) -> pd.DataFrame:
-    """(ray, tri, t) of the nearest of ``tris``, for the rays that hit any."""
-    v = {c: np.stack([np.asarray(x, dtype=float) for x in tris[c]]) for c in "abc"}
-    e1, e2, ids = v["b"] - v["a"], v["c"] - v["a"], tris["tri"].to_numpy()
-    out = []
-    for at in range(0, len(rays), max(1, 250_000 // len(tris))):
-        own = rays.iloc[at : at + max(1, 250_000 // len(tris))]
-        o, d = (np.stack([np.asarray(x, dtype=float) for x in own[c]])[:, None] for c in "od")
+    """(ray, tri, t) of the nearest of ``tris``, for the rays that hit any.
+
+    Products of matrices give all pairs' determinants up to rounding; by bounds on that, pairs are left out which
+    surely miss or lie behind a sure hit, and the others are computed one by one."""
+    corner = lambda pdf, c: np.stack([np.asarray(x, dtype=float) for x in pdf[c]])
+    o, d, a, b, c = corner(rays, "o"), corner(rays, "d"), corner(tris, "a"), corner(tris, "b"), corner(tris, "c")
+    e1, e2, ids, names = b - a, c - a, tris["tri"].to_numpy(), rays["ray"].to_numpy()
+    normal = np.cross(e1, e2)
+    left = np.concatenate([np.cross(o, d), d], axis=1), np.concatenate([o, np.ones((len(o), 1))], axis=1)
+    right = np.concatenate([e2, -np.cross(e2, a)], axis=1).T, np.concatenate([-e1, -np.cross(a, e1)], axis=1).T, np.concatenate([normal, -(a * normal).sum(axis=1, keepdims=True)], axis=1).T
+    far, long_, wide = (float(np.abs(x).max(initial=0.0)) for x in (np.concatenate([o, a]), d, np.concatenate([e1, e2])))
+    # what rounding can do to u and w, to det and to t (each times det)
+    eu, ed, et = 1e-13 * far * long_ * wide, 1e-13 * long_ * wide**2, 1e-13 * far * wide**2
+    out = [pd.DataFrame({"ray": names[:0], "tri": ids[:0], "t": np.empty(0)})]
+    for at in range(0, len(o), PAIRS[0]):
+        own, found = slice(at, at + PAIRS[0]), []
+        bound = np.full(len(o[own]), np.inf)  # no ray's first hit is behind it
+        for to in range(0, len(a), PAIRS[1]):
+            other = slice(to, to + PAIRS[1])
+            with np.errstate(invalid="ignore", over="ignore"):
+                det, t = d[own] @ -normal[other].T, left[1][own] @ right[2][:, other]
+                u, w = (left[0][own] @ x[:, other] for x in right[:2])
+                side = np.sign(det)
+                np.abs(det, out=det)
+                side[det <= ed] = 0.0  # too flat to tell: 0 * u passes
+                u *= side
+                w *= side
+                t *= side
+                miss = u < -eu
+                miss |= w < -eu
+                u += w
+                u -= det
+                miss |= u > 2 * eu + ed
+                miss &= side != 0
+                miss |= t < -et
+                miss |= t > bound[:, None] * (det + ed) + et
+            r, k = np.nonzero(~miss)
+            x, w0, t0 = det[r, k], w[r, k], t[r, k]
+            u0 = u[r, k] + x - w0
+            sure = (x > 10 * ed + 2e-12) & (u0 > 4 * eu + 1e-15 * x) & (w0 > 4 * eu) & (x - u0 - w0 > 4 * eu + 4 * ed) & (t0 > 4 * et + 2e-12 * x)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = np.where(x > 10 * ed, t0 / x, 0.0)
+                off = np.where(x > 10 * ed, 2 * (et + near * ed) / x + 1e-14 * near, np.inf)
+            found.append((r, k + to, near - off))
+            np.minimum.at(bound, r[sure], (near + off)[sure])
+        r, k, least = (np.concatenate(x) for x in zip(*found))
+        kept = ~(least > bound[r])
+        r, k = r[kept] + at, k[kept]
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.cross(d, e2)
-            det = (e1 * p).sum(axis=2)
-            s = o - v["a"]
-            q = np.cross(s, e1)
-            u, w, t = (s * p).sum(axis=2) / det, (d * q).sum(axis=2) / det, (e2 * q).sum(axis=2) / det
+            p = np.cross(d[r], e2[k])
+            det = (e1[k] * p).sum(axis=1)
+            s = o[r] - a[k]
+            q = np.cross(s, e1[k])
+            u, w, t = (s * p).sum(axis=1) / det, (d[r] * q).sum(axis=1) / det, (e2[k] * q).sum(axis=1) / det
             ok = (np.abs(det) > 1e-12) & (u >= 0) & (w >= 0) & (u + w <= 1) & (t > 1e-12)
-        r, k = np.nonzero(ok)
-        found = pd.DataFrame({"ray": own["ray"].to_numpy()[r], "tri": ids[k], "t": t[r, k]})
-        out.append(found.sort_values(["t", "tri"]).drop_duplicates("ray"))
+        out.append(pd.DataFrame({"ray": names[r[ok]], "tri": ids[k[ok]], "t": t[ok]}).sort_values(["t", "tri"]).drop_duplicates("ray"))
     return pd.concat(out)
 
 
@@ -119,17 +160,17 @@ def ray_cast(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """(ray, tri, t): the first triangle each ray hits, null for none.
 
     rays (ray, o: array of 3, d: array of 3) meet triangles (tri, a, b, c: arrays of 3).
-    Triangles stand in the cells of their centroids, CELLS along each axis, and full
-    cells are split into blocks of about BLOCK. A ray goes to the blocks whose bounding
+    Triangles stand in the cells of their centroids, along each axis CELLS or as few as
+    make cells of BLOCK, and full cells are split into blocks of about BLOCK. A ray goes to the blocks whose bounding
     box it crosses and meets all of their triangles; the nearest hits of all blocks are
     reduced by ray.
     """
     own = triangles.select("tri", "a", "b", "c", *(((F.col("a")[i] + F.col("b")[i] + F.col("c")[i]) / 3).alias(f"m{i}") for i in range(3)))
-    row = own.agg(*(f(f"m{i}").alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    cell = F.lit(0)
+    row = own.agg(F.count(F.lit(1)).alias("n"), *(f(f"m{i}").alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    cell, cells = F.lit(0), min(CELLS, math.ceil((max(row["n"], 1) / BLOCK) ** (1 / 3)))  # a ray is copied for each cell it crosses
     for i in range(3):
         lo, span = row[f"lo{i}"] or 0.0, (row[f"hi{i}"] or 0.0) - (row[f"lo{i}"] or 0.0) or 1.0
-        cell = cell * CELLS + F.least(F.floor((F.col(f"m{i}") - lo) / span * CELLS), F.lit(CELLS - 1)).cast("int")
+        cell = cell * cells + F.least(F.floor((F.col(f"m{i}") - lo) / span * cells), F.lit(cells - 1)).cast("int")
     own = own.select("tri", "a", "b", "c", cell.alias("cell")).where("cell is not null")
     parts = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))  # CELLS ** 3 rows at most
     own = own.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("tri"), F.col("parts")))
@@ -152,12 +193,13 @@ def ray_cast(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     crossed = crossed.join(groups, ["cell", "part"]).withColumn("group", F.pmod(F.xxhash64("ray"), F.col("groups"))).drop("groups")
     copies = own.join(groups, ["cell", "part"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
     key = ["cell", "part", "group"]
+    tasks = max(int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000, crossed.count() // BLOCK))  # given, as the rows are few for the work they are
     kinds = rays.schema["ray"].dataType.simpleString(), triangles.schema["tri"].dataType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _first_hits(left, right) if len(left) and len(right) else pd.DataFrame({"ray": [], "tri": [], "t": []})
 
-    hit = crossed.groupBy(key).cogroup(copies.groupBy(key)).applyInPandas(run, f"ray {kinds[0]}, tri {kinds[1]}, t double")
+    hit = crossed.repartition(tasks, *key).groupBy(key).cogroup(copies.repartition(tasks, *key).groupBy(key)).applyInPandas(run, f"ray {kinds[0]}, tri {kinds[1]}, t double")
     first = hit.groupBy("ray").agg(F.min(F.struct("t", "tri")).alias("h"))
     return rays.select("ray").join(first, "ray", "left").select("ray", "h.tri", "h.t")
 
